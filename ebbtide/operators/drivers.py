@@ -246,16 +246,15 @@ def category_lift(label: DataFrame, dims: DataFrame, by: Sequence[str]) -> DataF
 
 def feature_correlation(features: DataFrame, columns: Sequence[str]) -> DataFrame:
     """feature_a, feature_b, correlation for every pair; null where a feature does not vary."""
+    def pearson(a: str, b: str) -> Column:
+        # Not F.corr, which divides by zero for a constant column when ANSI mode is on.
+        y, x = F.col(a).cast("double"), F.col(b).cast("double")
+        return ratio(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x)) * F.sqrt(F.regr_syy(y, x)))
+
     pairs = [
         F.struct(
-            F.lit(a).alias("feature_a"),
-            F.lit(b).alias("feature_b"),
-            F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("correlation"),
+            F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), pearson(a, b).alias("correlation")
         )
         for a, b in combinations(columns, 2)
     ]
-    return (
-        features.agg(F.array(*pairs).alias("rows"))
-        .select(F.inline("rows"))
-        .withColumn("correlation", F.when(~F.isnan("correlation"), F.col("correlation")))
-    )
+    return features.agg(F.array(*pairs).alias("rows")).select(F.inline("rows"))
