@@ -169,32 +169,35 @@ def spend_trend(facts: DataFrame, cutoff: str | dt.date, periods: int = 8) -> Da
 def driver_contrast(features: DataFrame, label: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per feature: mean of leavers and stayers, difference, Cohen's d (null for no spread).
 
-    All features share one aggregate over one pass; the one-row result is then turned.
+    Features become rows and are combined per feature and outcome before the shuffle.
     """
-    left = F.col("churned") == 1
-    aggregates = []
-    for c in columns:
-        gone, kept = F.when(left, F.col(c)), F.when(~left, F.col(c))
-        aggregates.append(
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.avg(gone).alias("mean_churned"),
-                F.avg(kept).alias("mean_stayed"),
-                F.count(gone).alias("n1"),
-                F.count(kept).alias("n0"),
-                F.var_samp(gone.cast("double")).alias("v1"),
-                F.var_samp(kept.cast("double")).alias("v0"),
-            )
-        )
+    long = (
+        features.join(label, "k")
+        .select("churned", *[F.col(c).cast("double").alias(c) for c in columns])
+        .unpivot("churned", list(columns), "feature", "x")
+    )
+    per_outcome = long.groupBy("feature", "churned").agg(
+        F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_samp("x").alias("variance")
+    )
+
+    def of(outcome: int, column: str) -> Column:
+        return F.max(F.when(F.col("churned") == outcome, F.col(column)))
+
     spread = F.coalesce((F.col("n1") - 1) * F.col("v1"), F.lit(0.0)) + F.coalesce(
         (F.col("n0") - 1) * F.col("v0"), F.lit(0.0)
     )
     pooled = F.sqrt(ratio(spread, F.col("n1") + F.col("n0") - 2))
     difference = F.col("mean_churned") - F.col("mean_stayed")
     return (
-        features.join(label, "k")
-        .agg(F.array(*aggregates).alias("rows"))
-        .select(F.inline("rows"))
+        per_outcome.groupBy("feature")
+        .agg(
+            of(1, "mean").alias("mean_churned"),
+            of(0, "mean").alias("mean_stayed"),
+            of(1, "n").alias("n1"),
+            of(0, "n").alias("n0"),
+            of(1, "variance").alias("v1"),
+            of(0, "variance").alias("v0"),
+        )
         .select(
             "feature",
             "mean_churned",
@@ -245,16 +248,21 @@ def category_lift(label: DataFrame, dims: DataFrame, by: Sequence[str]) -> DataF
 
 
 def feature_correlation(features: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """feature_a, feature_b, correlation for every pair; null where a feature does not vary."""
-    def pearson(a: str, b: str) -> Column:
-        # Not F.corr, which divides by zero for a constant column when ANSI mode is on.
-        y, x = F.col(a).cast("double"), F.col(b).cast("double")
-        return ratio(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x)) * F.sqrt(F.regr_syy(y, x)))
-
-    pairs = [
-        F.struct(
-            F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), pearson(a, b).alias("correlation")
-        )
-        for a, b in combinations(columns, 2)
+    """feature_a, feature_b, correlation for every pair; null where a feature does not vary.
+
+    Each customer gives one row per pair of columns, combined per pair before the shuffle. One
+    aggregate with all pairs side by side would be too wide for generated code.
+    """
+    pairs = list(combinations(columns, 2))
+    cells = [
+        c
+        for a, b in pairs
+        for c in (F.lit(a), F.lit(b), F.col(a).cast("double"), F.col(b).cast("double"))
     ]
-    return features.agg(F.array(*pairs).alias("rows")).select(F.inline("rows"))
+    # Not F.corr, which divides by zero for a constant column when ANSI mode is on.
+    spread = F.sqrt(F.regr_sxx("y", "x")) * F.sqrt(F.regr_syy("y", "x"))
+    return (
+        features.select(F.stack(F.lit(len(pairs)), *cells).alias("feature_a", "feature_b", "x", "y"))
+        .groupBy("feature_a", "feature_b")
+        .agg(ratio(F.regr_sxy("y", "x"), spread).alias("correlation"))
+    )

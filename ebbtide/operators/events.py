@@ -1,5 +1,6 @@
 """Event behaviour. No step here holds all events of one user in a task: rows are reduced per
-user and time cell before they shuffle, or windows are cut into cells by `running`."""
+user and time cell before they shuffle, or windows are cut into cells where a user has more
+rows than one task should sort (`cell` sets the width in microseconds, else it is measured)."""
 
 from __future__ import annotations
 
@@ -11,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ebbtide.functions import cell_start, day, from_micros, micros, ratio
-from ebbtide.plans import running
+from ebbtide.plans import cell_width, durable, running
 
 SECOND = 1_000_000
 HOUR = 3600 * SECOND
@@ -54,7 +55,7 @@ def sessions(events: DataFrame, gap: int = 6 * HOUR) -> DataFrame:
 
 
 def funnel(
-    events: DataFrame, steps: Sequence[str], within: int = DAY, cell: int = HOUR
+    events: DataFrame, steps: Sequence[str], within: int = DAY, cell: int | None = None
 ) -> DataFrame:
     """user_id, furthest: how many of the ordered steps the user completed at best.
 
@@ -62,24 +63,27 @@ def funnel(
     without any step's event are absent; without a first step, furthest is 0.
 
     Of all chains that reach a step, the one that started last has the most time left, so one
-    start time per step is carried along and no pairs of events are formed.
+    start time per step is carried along and no pairs of events are formed. Without cells all
+    steps share one shuffle and sort. With cells each step's result is written, as the next
+    step reads it twice; only rows that can still matter are kept.
     """
     line = _timed(events.filter(F.col("event_type").isin(list(steps)))).select(
         "user_id", "at", "event_type"
     )
-    at = F.col("at")
-    line = line.withColumn("_start1", F.when(F.col("event_type") == steps[0], at))
+    cell = cell or cell_width(line, "user_id", "at")
+    at, kind, start = F.col("at"), F.col("event_type"), F.col("start")
+    line = line.withColumn("start", F.when(kind == steps[0], at))
+    reached = line.select("user_id", F.when(start.isNotNull(), 1).otherwise(0).alias("step"))
     for i, step in enumerate(steps[1:], 2):
-        line = running(
-            line, "user_id", "at", F.col(f"_start{i - 1}"), F.max, _greatest, "_chain", cell, True
+        line = running(line, "user_id", "at", start, F.max, _greatest, "chain", cell, True)
+        onward = F.when((kind == step) & (at - F.col("chain") <= within), F.col("chain"))
+        line = line.select("user_id", "at", "event_type", onward.alias("start"))
+        if cell is not None:
+            line = durable(line.filter(start.isNotNull() | kind.isin(list(steps[i:]))))
+        reached = reached.unionByName(
+            line.filter(start.isNotNull()).select("user_id", F.lit(i).alias("step"))
         )
-        here = (F.col("event_type") == step) & (at - F.col("_chain") <= within)
-        line = line.withColumn(f"_start{i}", F.when(here, F.col("_chain"))).drop("_chain")
-    reached = [
-        F.max(F.when(F.col(f"_start{i}").isNotNull(), i)) for i in range(1, len(steps) + 1)
-    ]
-    furthest = F.greatest(F.lit(0), *reached) if len(reached) > 1 else reached[0]
-    return line.groupBy("user_id").agg(F.coalesce(furthest, F.lit(0)).cast("int").alias("furthest"))
+    return reached.groupBy("user_id").agg(F.max("step").cast("int").alias("furthest"))
 
 
 def event_retention(
@@ -140,7 +144,7 @@ def quiet_periods(events: DataFrame, hours: int = 24) -> DataFrame:
 
 
 def rolling_errors(
-    events: DataFrame, days: int = 7, kind: str = "error", cell: int = HOUR
+    events: DataFrame, days: int = 7, kind: str = "error", cell: int | None = None
 ) -> DataFrame:
     """event_id, user_id, ts, errors: errors of the user in [ts - days, ts], at each event.
 
@@ -148,29 +152,32 @@ def rolling_errors(
     is the count, so the window can be cut into cells like any running sum.
     """
     timed = _timed(events).select("event_id", "user_id", "at", "event_type")
+    width = cell or cell_width(timed, "user_id", "at")
     error = F.col("event_type") == kind
     # Doubled times leave room for "just after".
-    starts = timed.select(
-        "event_id", "user_id", (F.col("at") * 2).alias("at"),
-        F.when(error, 1).otherwise(0).cast("bigint").alias("step"),
-    )
-    ends = timed.filter(error).select(
-        F.lit(None).cast("bigint").alias("event_id"), "user_id",
-        ((F.col("at") + days * DAY) * 2 + 1).alias("at"), F.lit(-1).cast("bigint").alias("step"),
+    here = F.struct((F.col("at") * 2).alias("at"), error.cast("int").alias("step"))
+    after = F.struct(
+        ((F.col("at") + days * DAY) * 2 + 1).alias("at"), F.lit(-1).alias("step")
     )
+    steps = timed.select(
+        "event_id",
+        "user_id",
+        F.explode(F.when(error, F.array(here, after)).otherwise(F.array(here))).alias("s"),
+    ).select("event_id", "user_id", "s.at", "s.step")
     counted = running(
-        starts.unionByName(ends), "user_id", "at", F.col("step"),
-        F.sum, lambda a, b: a + b, "errors", 2 * cell, False,
+        steps, "user_id", "at", F.col("step"),
+        F.sum, lambda a, b: a + b, "errors", width and 2 * width, False,
     )
-    return counted.filter(F.col("event_id").isNotNull()).select(
+    return counted.filter(F.col("step") >= 0).select(
         "event_id", "user_id", from_micros(F.shiftright("at", 1)).alias("ts"), "errors"
     )
 
 
-def last_before(events: DataFrame, kind: str, cell: int = HOUR) -> DataFrame:
+def last_before(events: DataFrame, kind: str, cell: int | None = None) -> DataFrame:
     """event_id, user_id, ts, last_ts, last_value: the user's latest event of one type that is
     strictly before each event, null if none; equal times go by event_id."""
     timed = _timed(events).select("event_id", "user_id", "at", "event_type", "value")
+    cell = cell or cell_width(timed, "user_id", "at")
     wanted = F.when(F.col("event_type") == kind, F.struct("at", "event_id", "value"))
     found = running(timed, "user_id", "at", wanted, F.max, _greatest, "found", cell, True)
     return found.select(

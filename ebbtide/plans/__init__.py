@@ -1,5 +1,5 @@
 from ebbtide.plans.durable import durable, shared_folder
 from ebbtide.plans.ranked import first_per_group, prefix_sum, quantiles
-from ebbtide.plans.running import running
+from ebbtide.plans.running import cell_width, running
 
-__all__ = ["durable", "first_per_group", "prefix_sum", "quantiles", "running", "shared_folder"]
+__all__ = ["cell_width", "durable", "first_per_group", "prefix_sum", "quantiles", "running", "shared_folder"]

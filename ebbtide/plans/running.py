@@ -1,8 +1,9 @@
-"""Running aggregates along each key's time line, with the time line cut into cells.
+"""Running aggregates along each key's time line, cut into cells where one key is too big.
 
 A plain window over a key puts all of its rows into one task, which fails when one key holds
-a third of the table. Here a task holds one key's rows of one cell only; what earlier cells
-contribute comes from a table with one row per key and cell, aggregated before its shuffle.
+a third of the table. With cells, a task holds one key's rows of one cell only; what earlier
+cells contribute comes from a table with one row per key and cell, aggregated before its
+shuffle. `cell_width` measures whether that is needed, as the plain window shuffles less.
 """
 
 from __future__ import annotations
@@ -15,6 +16,25 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions import cell_start
 
+ROWS_PER_CELL = 2_000_000
+
+
+def cell_width(df: DataFrame, key: str, at: str, rows: int = ROWS_PER_CELL) -> int | None:
+    """Width that leaves the biggest key about `rows` rows per cell; None if it has no more.
+
+    Counts rows per key, combined before the shuffle, and brings one row to the driver.
+    """
+    top = (
+        df.filter(F.col(key).isNotNull())
+        .groupBy(key)
+        .agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("lo"), F.max(at).alias("hi"))
+        .agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        .first()
+    )
+    if top.n is None or top.n <= rows:
+        return None
+    return max(1, (top.hi - top.lo) * rows // top.n)
+
 
 def running(
     df: DataFrame,
@@ -24,30 +44,30 @@ def running(
     how: Callable[[Column], Column],
     merge: Callable[[Column, Column], Column],
     name: str,
-    cell: int,
+    cell: int | None,
     strict: bool,
 ) -> DataFrame:
     """`df` plus `name`: `how` of `value` over the key's rows up to the row's own time `at`.
 
     `at` is a bigint; rows at the same time count too unless `strict`. `how` is an aggregate
     that can be taken of its own results (sum, max, min), `merge` joins two results. `cell` is
-    the cell width in units of `at`.
+    the cell width in units of `at`, or None for no cells. Rows without a key are left out.
 
-    The rows shuffle once, on (key, cell); the join with the earlier cells reuses that
-    partitioning and the window's sort. Rows without a key are left out.
+    With cells the rows shuffle once, on (key, cell); the join with the earlier cells reuses
+    that partitioning and the window's sort.
     """
-    cells = df.withColumn("_cell", cell_start(F.col(at), cell)).withColumn("_value", value)
+    upto = (W.unboundedPreceding, -1 if strict else 0)
+    known = df.filter(F.col(key).isNotNull())
+    if cell is None:
+        return known.withColumn(name, how(value).over(W.partitionBy(key).orderBy(at).rangeBetween(*upto)))
+    cells = known.withColumn("_cell", cell_start(F.col(at), cell)).withColumn("_value", value)
     earlier = W.partitionBy(key).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     carried = (
         cells.groupBy(key, "_cell")
         .agg(how(F.col("_value")).alias("_sum"))
         .select(key, "_cell", how(F.col("_sum")).over(earlier).alias("_carry"))
     )
-    inside = (
-        W.partitionBy(key, "_cell")
-        .orderBy(at)
-        .rangeBetween(W.unboundedPreceding, -1 if strict else 0)
-    )
+    inside = W.partitionBy(key, "_cell").orderBy(at).rangeBetween(*upto)
     own, carry = F.col("_own"), F.col("_carry")
     return (
         cells.withColumn("_own", how(F.col("_value")).over(inside))

@@ -10,14 +10,15 @@ from ebbtide.plans import shared_folder
 from ebbtide.sources import SCHEMAS, write_result
 
 
-def read_events(
-    spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_batch: int | None = None
-) -> DataFrame:
-    """The event files of a folder as a stream, with `ts` as the timestamp type watermarks need."""
-    reader = spark.readStream.schema(SCHEMAS["events"]).option("pathGlobFilter", pattern)
+def read_events(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Event files as a stream, with `ts` as the timestamp type watermarks need.
+
+    `path` is a folder or a pattern; a pattern may also match single files.
+    """
+    reader = spark.readStream.schema(SCHEMAS["events"])
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def run_to_end(stream: DataFrame, name: str) -> DataFrame:

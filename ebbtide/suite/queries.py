@@ -46,9 +46,12 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = apply_settings(spark), sf_dir
+        self.read: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
-        return load(self.spark, self.sf_dir, name)
+        if name not in self.read:
+            self.read[name] = load(self.spark, self.sf_dir, name)
+        return self.read[name]
 
     def facts(self) -> DataFrame:
         return preparation.order_facts(self["orders"])
@@ -80,7 +83,8 @@ class Inputs:
         return scoring.score(model, self.features())
 
     def stream(self) -> DataFrame:
-        return activity.read_events(self.spark, self.sf_dir, "events.parquet")
+        # A pattern, because the table may be one file or a folder of files.
+        return activity.read_events(self.spark, f"{self.sf_dir}/event[s].parquet")
 
 
 def comparable(df: DataFrame, cents: tuple[str, ...] = (), digits: int = 6) -> DataFrame:

@@ -90,6 +90,17 @@ def test_funnel(df, rows, cell_hours):
     assert as_set(got) == want
 
 
+def test_uncut_time_lines_give_the_same(df):
+    """Nobody is big enough here to be cut unless a cell width is given."""
+    pairs = [
+        (events.funnel(df, TYPES[:3]), events.funnel(df, TYPES[:3], cell=events.HOUR)),
+        (events.rolling_errors(df), events.rolling_errors(df, cell=events.HOUR)),
+        (events.last_before(df, "click"), events.last_before(df, "click", cell=events.HOUR)),
+    ]
+    for plain, cut in pairs:
+        assert as_set(plain) == as_set(cut)
+
+
 def test_funnel_boundaries(spark):
     df = make(spark, [
         (1, 0, 1, "view"), (2, 1, 1, "click"), (3, 24, 1, "purchase"),  # exactly within

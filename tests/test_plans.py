@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ebbtide.plans import first_per_group, prefix_sum, quantiles, running
+from ebbtide.plans import cell_width, first_per_group, prefix_sum, quantiles, running
 
 
 def test_prefix_sum_equals_running_total(spark):
@@ -56,10 +56,10 @@ def test_approximate_quantiles_are_close(spark):
     assert abs(got - 5000) <= 2
 
 
-@pytest.mark.parametrize("cell", [1, 13, 100, 10_000])
+@pytest.mark.parametrize("cell", [1, 13, 100, 10_000, None])
 @pytest.mark.parametrize("strict", [True, False])
 def test_running_equals_brute_force_for_any_cell(spark, cell, strict):
-    rng = random.Random(cell)
+    rng = random.Random(3)
     rows = [
         (i, 0 if rng.random() < 0.34 else rng.randrange(1, 40), rng.randrange(-300, 300),
          rng.choice([None, rng.randrange(9)]))
@@ -85,3 +85,12 @@ def test_first_per_group_with_one_big_group(spark, n):
     want = {("big", 2499 - i, i + 1) for i in range(min(n, 2500))}
     want |= {("small", 2999 - i, i + 1) for i in range(min(n, 500))}
     assert {tuple(r) for r in got} == want
+
+
+def test_cells_are_measured_from_the_biggest_key(spark):
+    rows = [(0, t) for t in range(0, 1000, 10)] + [(k, 5) for k in range(1, 50)] + [(None, 1)] * 500
+    df = spark.createDataFrame(rows, "k bigint, at bigint")
+    assert cell_width(df, "k", "at", rows=100) is None
+    assert cell_width(df, "k", "at", rows=20) == 990 * 20 // 100
+    assert cell_width(df, "k", "at", rows=1) == 9
+    assert cell_width(df.limit(0), "k", "at") is None
