@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ebbtide.functions import day, quarter_index, ratio
@@ -224,27 +225,25 @@ def category_lift(label: DataFrame, dims: DataFrame, by: Sequence[str]) -> DataF
         .groupBy("dimension", "category")
         .agg(F.sum("n").alias("customers"), F.sum("c").alias("churned"))
     )
-    totals = cells.groupBy("dimension").agg(
-        F.sum("customers").alias("all_n"),
-        F.sum("churned").alias("all_c"),
-        F.count(F.lit(1)).alias("cells"),
-    )
-    stayed, all_s = F.col("customers") - F.col("churned"), F.col("all_n") - F.col("all_c")
-    share_c = (F.col("churned") + 0.5) / (F.col("all_c") + 0.5 * F.col("cells"))
-    share_s = (stayed + 0.5) / (all_s + 0.5 * F.col("cells"))
-    rate, base = ratio(F.col("churned"), F.col("customers")), ratio(F.col("all_c"), F.col("all_n"))
-    scored = cells.join(totals, "dimension").select(
+    whole = W.partitionBy("dimension")  # one row per category
+    all_n, all_c = F.sum("customers").over(whole), F.sum("churned").over(whole)
+    k = F.count(F.lit(1)).over(whole)
+    stayed = F.col("customers") - F.col("churned")
+    share_c = (F.col("churned") + 0.5) / (all_c + 0.5 * k)
+    share_s = (stayed + 0.5) / (all_n - all_c + 0.5 * k)
+    rate = ratio(F.col("churned"), F.col("customers"))
+    scored = cells.select(
         "dimension",
         "category",
         "customers",
         "churned",
         rate.alias("rate"),
-        ratio(rate, base).alias("lift"),
+        ratio(rate, ratio(all_c, all_n)).alias("lift"),
         F.ln(share_c / share_s).alias("woe"),
-        ((share_c - share_s) * F.ln(share_c / share_s)).alias("part"),
+        (share_c - share_s).alias("apart"),
     )
-    value = scored.groupBy("dimension").agg(F.sum("part").alias("information_value"))
-    return scored.join(value, "dimension").drop("part")
+    value = F.sum(F.col("apart") * F.col("woe")).over(whole)
+    return scored.withColumn("information_value", value).drop("apart")
 
 
 def feature_correlation(features: DataFrame, columns: Sequence[str]) -> DataFrame:

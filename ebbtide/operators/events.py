@@ -63,27 +63,26 @@ def funnel(
     without any step's event are absent; without a first step, furthest is 0.
 
     Of all chains that reach a step, the one that started last has the most time left, so one
-    start time per step is carried along and no pairs of events are formed. Without cells all
-    steps share one shuffle and sort. With cells each step's result is written, as the next
-    step reads it twice; only rows that can still matter are kept.
+    start time per step is carried along and no pairs of events are formed. Without cells, all
+    steps and the final count share one shuffle and sort. With cells, each step's rows are
+    written, as the next step reads them twice.
     """
     line = _timed(events.filter(F.col("event_type").isin(list(steps)))).select(
         "user_id", "at", "event_type"
     )
     cell = cell or cell_width(line, "user_id", "at")
     at, kind, start = F.col("at"), F.col("event_type"), F.col("start")
-    line = line.withColumn("start", F.when(kind == steps[0], at))
-    reached = line.select("user_id", F.when(start.isNotNull(), 1).otherwise(0).alias("step"))
-    for i, step in enumerate(steps[1:], 2):
+    line = line.withColumn("start", F.when(kind == steps[0], at)).withColumn(
+        "step", F.when(start.isNotNull(), 1).otherwise(0)
+    )
+    for i, name in enumerate(steps[1:], 2):
         line = running(line, "user_id", "at", start, F.max, _greatest, "chain", cell, True)
-        onward = F.when((kind == step) & (at - F.col("chain") <= within), F.col("chain"))
-        line = line.select("user_id", "at", "event_type", onward.alias("start"))
+        onward = F.when((kind == name) & (at - F.col("chain") <= within), F.col("chain"))
+        line = line.withColumn("start", onward).drop("chain")
+        line = line.withColumn("step", F.when(start.isNotNull(), i).otherwise(F.col("step")))
         if cell is not None:
-            line = durable(line.filter(start.isNotNull() | kind.isin(list(steps[i:]))))
-        reached = reached.unionByName(
-            line.filter(start.isNotNull()).select("user_id", F.lit(i).alias("step"))
-        )
-    return reached.groupBy("user_id").agg(F.max("step").cast("int").alias("furthest"))
+            line = durable(line)
+    return line.groupBy("user_id").agg(F.max("step").cast("int").alias("furthest"))
 
 
 def event_retention(

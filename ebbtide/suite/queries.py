@@ -62,6 +62,9 @@ class Inputs:
     def dims(self) -> DataFrame:
         return preparation.customer_dims(self["customer"], self["nation"], self["region"])
 
+    def customers(self) -> DataFrame:
+        return self["customer"].select(F.col("c_custkey").alias("k"))
+
     def label(self, cutoff: dt.date = CUTOFF) -> DataFrame:
         return churn.churn_label(self.facts(), cutoff, observed_until=SNAPSHOT)
 
@@ -237,9 +240,9 @@ _BUILD: dict[str, Callable[[Inputs], DataFrame]] = {
     "check_rules": lambda x: response.check_rules(_nation_rules(x)),
     "top_targets": lambda x: response.top_targets(x.valued(), x.dims(), "region", 20),
     "budget_list": lambda x: response.budget_list(x.assigned(), BUDGET),
-    "holdout": lambda x: response.holdout(x.dims(), SALT, HOLDOUT_PCT),
+    "holdout": lambda x: response.holdout(x.customers(), SALT, HOLDOUT_PCT),
     "experiment_readout": lambda x: response.experiment_readout(
-        response.holdout(x.dims(), SALT, HOLDOUT_PCT), x.label()
+        response.holdout(x.customers(), SALT, HOLDOUT_PCT), x.label()
     ),
     # Event behaviour and streaming
     "sessions": lambda x: events.sessions(x["events"]),
