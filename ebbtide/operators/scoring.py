@@ -17,7 +17,7 @@ from pyspark.storagelevel import StorageLevel
 from ebbtide.functions import day, ratio
 from ebbtide.operators.drivers import band, numeric_features
 from ebbtide.operators.preparation import between
-from ebbtide.plans import prefix_sum, quantiles
+from ebbtide.plans import durable, prefix_sum, quantiles
 
 CATEGORIES = ("segment", "region")
 
@@ -81,8 +81,10 @@ def lift_table(scores: DataFrame, label: DataFrame, bins: int = 10, exact: bool
     """Per risk band, `bins` highest: customers, churned, rate, capture.
 
     capture is the share of all leavers found in this band and the riskier ones. The running
-    window sees one row per band.
+    window sees one row per band. The scores are written once, as both the cutpoints and the
+    counts read them.
     """
+    scores = durable(scores.select("k", "risk"))
     judged = scores.join(label, "k")
     cuts = quantiles(scores, ["risk"], [i / bins for i in range(1, bins)], exact)["risk"]
     riskier = W.orderBy(F.desc("band")).rowsBetween(W.unboundedPreceding, 0)

@@ -9,6 +9,10 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Open windows, sessions and seen ids stay on the executors' disks, not in their heap.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
     # Merge sessions before the shuffle, so a user with very many events sends few rows.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }

@@ -82,10 +82,15 @@ def write_result(
 ) -> StreamingQuery | None:
     """Write parquet. A stream appends until its input is used up and returns its query.
 
+    Batch rows are first rebalanced on the partition columns, so that each folder gets a few
+    files of good size and a very big folder is still written by many tasks.
+
     A stream needs `checkpoint`, a folder all executors share: with the file sink's own log
     it makes a restart carry on without losing or repeating rows.
     """
     if not df.isStreaming:
+        if partition_by:
+            df = df.hint("rebalance", *partition_by)
         df.write.mode(mode).partitionBy(*partition_by).parquet(path)
         return None
     if checkpoint is None:
