@@ -34,7 +34,9 @@ def rows():
 
 @pytest.fixture(scope="module")
 def df(spark, rows):
-    return make(spark, rows).repartition(6).cache()
+    frame = make(spark, rows).repartition(6).cache()
+    yield frame
+    frame.unpersist()
 
 
 def by_user(rows):
