@@ -75,6 +75,8 @@ def funnel(
     line = line.withColumn("start", F.when(kind == steps[0], at)).withColumn(
         "step", F.when(start.isNotNull(), 1).otherwise(0)
     )
+    if cell is not None:
+        line = line.distinct()
     for i, name in enumerate(steps[1:], 2):
         line = running(line, "user_id", "at", start, F.max, _greatest, "chain", cell, True)
         onward = F.when((kind == name) & (at - F.col("chain") <= within), F.col("chain"))

@@ -1,9 +1,10 @@
 """Running aggregates along each key's time line, cut into cells where one key is too big.
 
 A plain window over a key puts all of its rows into one task, which fails when one key holds
-a third of the table. With cells, a task holds one key's rows of one cell only; what earlier
-cells contribute comes from a table with one row per key and cell, aggregated before its
-shuffle. `cell_width` measures whether that is needed, as the plain window shuffles less.
+a third of the table. The cut form first collapses rows of one key and time, so copies count
+once, and then a task holds one key's times of one cell only; what earlier cells contribute
+comes from a table with one row per key and cell. `cell_width` measures whether that is
+needed, as the plain window shuffles less.
 """
 
 from __future__ import annotations
@@ -20,20 +21,28 @@ ROWS_PER_CELL = 2_000_000
 
 
 def cell_width(df: DataFrame, key: str, at: str, rows: int = ROWS_PER_CELL) -> int | None:
-    """Width that leaves the biggest key about `rows` rows per cell; None if it has no more.
+    """None if no key has more than `rows` rows, else a width with few enough times per cell.
 
-    Counts rows per key, combined before the shuffle, and brings one row to the driver.
+    Counts rows per key, combined before the shuffle, and brings one row to the driver. If
+    cells are needed, the width is narrowed until the fullest cell, measured and not guessed
+    from an even spread, has at most twice `rows` distinct times.
     """
+    known = df.filter(F.col(key).isNotNull())
     top = (
-        df.filter(F.col(key).isNotNull())
-        .groupBy(key)
+        known.groupBy(key)
         .agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("lo"), F.max(at).alias("hi"))
         .agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         .first()
     )
     if top.n is None or top.n <= rows:
         return None
-    return max(1, (top.hi - top.lo) * rows // top.n)
+    times = known.select(key, at).distinct()
+    width, fullest = top.hi - top.lo + 1, top.n
+    while width > 1 and fullest > 2 * rows:
+        width = max(1, width * rows // fullest)
+        cells = times.groupBy(key, cell_start(F.col(at), width)).agg(F.count(F.lit(1)).alias("n"))
+        fullest = cells.agg(F.max("n")).first()[0]
+    return width
 
 
 def running(
@@ -53,27 +62,30 @@ def running(
     that can be taken of its own results (sum, max, min), `merge` joins two results. `cell` is
     the cell width in units of `at`, or None for no cells. Rows without a key are left out.
 
-    With cells the rows shuffle once, on (key, cell); the join with the earlier cells reuses
-    that partitioning and the window's sort.
+    With cells, results are found per distinct key and time and joined back to the rows on
+    both; a time with very many rows is left to Spark's handling of skewed joins.
     """
     upto = (W.unboundedPreceding, -1 if strict else 0)
     known = df.filter(F.col(key).isNotNull())
     if cell is None:
         return known.withColumn(name, how(value).over(W.partitionBy(key).orderBy(at).rangeBetween(*upto)))
-    cells = known.withColumn("_cell", cell_start(F.col(at), cell)).withColumn("_value", value)
+    times = (
+        known.groupBy(key, at)
+        .agg(how(value).alias("_value"))
+        .withColumn("_cell", cell_start(F.col(at), cell))
+    )
     earlier = W.partitionBy(key).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     carried = (
-        cells.groupBy(key, "_cell")
+        times.groupBy(key, "_cell")
         .agg(how(F.col("_value")).alias("_sum"))
         .select(key, "_cell", how(F.col("_sum")).over(earlier).alias("_carry"))
     )
     inside = W.partitionBy(key, "_cell").orderBy(at).rangeBetween(*upto)
     own, carry = F.col("_own"), F.col("_carry")
-    return (
-        cells.withColumn("_own", how(F.col("_value")).over(inside))
+    either = F.when(own.isNull(), carry).when(carry.isNull(), own).otherwise(merge(own, carry))
+    results = (
+        times.withColumn("_own", how(F.col("_value")).over(inside))
         .join(carried, [key, "_cell"])
-        .withColumn(
-            name, F.when(own.isNull(), carry).when(carry.isNull(), own).otherwise(merge(own, carry))
-        )
-        .drop("_cell", "_value", "_own", "_carry")
+        .select(key, at, either.alias(name))
     )
+    return known.join(results, [key, at])

@@ -93,4 +93,21 @@ def test_cells_are_measured_from_the_biggest_key(spark):
     assert cell_width(df, "k", "at", rows=100) is None
     assert cell_width(df, "k", "at", rows=20) == 990 * 20 // 100
     assert cell_width(df, "k", "at", rows=1) == 9
+    assert cell_width(df, "k", "at", rows=50) == 991  # twice the rows are still tolerated
     assert cell_width(df.limit(0), "k", "at") is None
+
+
+def test_a_burst_gets_narrower_cells(spark):
+    rows = [(0, t) for t in range(1000)] + [(0, 10**9)]
+    df = spark.createDataFrame(rows, "k bigint, at bigint")
+    width = cell_width(df, "k", "at", rows=50)
+    fullest = max(sum(t // width == c for _, t in rows) for c in {t // width for _, t in rows})
+    assert fullest <= 100
+
+
+def test_copies_of_one_time_do_not_narrow_the_cells_for_ever(spark):
+    df = spark.createDataFrame([(0, 500)] * 300 + [(0, t) for t in range(1000)], "k bigint, at bigint")
+    assert cell_width(df, "k", "at", rows=100) >= 50
+    got = running(df, "k", "at", F.lit(1), F.sum, lambda a, b: a + b, "n", 100, False)
+    counts = {(r.at, r.n) for r in got.collect()}
+    assert got.count() == 1300 and (499, 500) in counts and (500, 801) in counts
