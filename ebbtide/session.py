@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -33,3 +35,16 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
     return spark
+
+
+def reach_workers(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it.
+
+    For a checkout at the same place on all machines; otherwise install the package or hand it
+    to spark-submit with --py-files.
+    """
+    root = str(Path(__file__).resolve().parents[1])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{known}".rstrip(":")
+    return spark
