@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
+    # Checkpoint files go when the driver has dropped the frame (read at the session's start).
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Merge sessions before the shuffle, so a user with very many events sends few rows.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
