@@ -28,8 +28,9 @@ def map_rows(
     columns: Sequence[str],
     fn: Callable[[Iterator[tuple[list, ...]]], Iterable[Sequence[Sequence]]],
     schema: str,
+    size: int = ROWS,
 ) -> DataFrame:
-    """`fn` over `columns` of `df`, a few hundred rows at a time.
+    """`fn` over `columns` of `df`, `size` rows at a time.
 
     `fn` gets an iterator of tuples of lists, one list per column, for one partition, and
     yields one list per column of `schema`. Only `columns` are read, so other columns of the
@@ -42,8 +43,8 @@ def map_rows(
 
         def rows():
             for batch in batches:
-                for at in range(0, batch.num_rows, ROWS):
-                    part = batch.slice(at, ROWS)
+                for at in range(0, batch.num_rows, size):
+                    part = batch.slice(at, size)
                     yield tuple(c.to_pylist() for c in part.columns)
 
         for out in fn(rows()):

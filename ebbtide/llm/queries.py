@@ -9,7 +9,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm import bpe_chunks, language_profiles, quality_kernel, token_counts, toxicity_kernel
+from ebbtide.llm import (
+    bpe_chunks,
+    decontamination,
+    language_profiles,
+    quality_kernel,
+    token_counts,
+    toxicity_kernel,
+    web_archives,
+)
 from ebbtide.llm.common import in_fold, table
 from ebbtide.plans import durable
 
@@ -26,6 +34,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op2_web_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web_archives.pages_through_archives(table(spark, sf_dir, "pages"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_counts.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -44,6 +56,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontamination.contamination(decontamination.benchmark_matches(docs, benchmark))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     prototypes = language_profiles.language_prototypes(docs.filter(~in_fold("doc_id", 3, 1)))
@@ -53,10 +70,30 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_web_archives": op2_web_archives,
     "op4_token_counts": op4_token_counts,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
+    "op7_decontamination": op7_decontamination,
     "op8_language": op8_language,
 }
 
-ORACLE: dict[str, str] = {}
+# Base 32 of a digest, five bits at a time, two of its hex digits around them.
+BASE32 = """list_reduce(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((((16 * (instr('0123456789abcdef', substr(h, CAST(1 + (5 * i) // 4 AS INTEGER), 1)) - 1)
+        + greatest(0, instr('0123456789abcdef', substr(h, CAST(2 + (5 * i) // 4 AS INTEGER), 1)) - 1))
+        >> (3 - (5 * i) % 4)) & 31) AS INTEGER), 1)), lambda a, b: a || b)"""
+
+ORACLE: dict[str, str] = {
+    "op2_web_archives": f"""
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages
+        ), q AS (
+            SELECT *, max(page_id) OVER (PARTITION BY body) AS top FROM p
+        )
+        SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
+            {BASE32} AS payload_digest,
+            CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id < top THEN top END AS refers_to
+        FROM q""",
+}
