@@ -9,7 +9,13 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-KINDS = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE"}
+KINDS = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "string": "VARCHAR",
+    "double": "DOUBLE",
+    "boolean": "BOOLEAN",
+}
 
 
 def oracle_rows(sf_dir: str, sql: str) -> tuple[dict[str, str], list[tuple]]:
