@@ -13,6 +13,7 @@ from ebbtide.llm import (
     bpe_chunks,
     decontamination,
     language_profiles,
+    line_rules,
     quality_kernel,
     token_counts,
     toxicity_kernel,
@@ -68,6 +69,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "cosine")
 
 
+def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.line_rules(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_web_archives": op2_web_archives,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
     "op8_language": op8_language,
+    "op9_line_rules": op9_line_rules,
 }
 
 # Base 32 of a digest, five bits at a time, two of its hex digits around them.
@@ -96,4 +102,52 @@ ORACLE: dict[str, str] = {
             CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN page_id < top THEN top END AS refers_to
         FROM q""",
+    "op9_line_rules": """
+        WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+        w AS (
+            SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'),
+                lambda x: x <> '') AS ws FROM d
+        ),
+        win AS (
+            SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS s
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)
+        ),
+        rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM win)
+            WHERE n > 1),
+        covered AS (
+            SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest(range(3)) AS k) GROUP BY doc_id
+        ),
+        l AS (
+            SELECT doc_id, source, line FROM (
+                SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d
+            ) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
+        ),
+        dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l GROUP BY doc_id),
+        forms AS (
+            SELECT doc_id, source, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS form FROM l
+        ),
+        own AS (
+            SELECT doc_id, source, form, sum(len(string_split(form, ' '))) AS words
+            FROM forms GROUP BY ALL
+        ),
+        marked AS (SELECT *, count(*) OVER (PARTITION BY source, form) > 100 AS common FROM own),
+        judged AS (
+            SELECT doc_id, sum(words) AS words, sum(CASE WHEN common THEN words ELSE 0 END) AS removed
+            FROM marked GROUP BY doc_id
+        ),
+        base AS (
+            SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+                CAST(length(translate(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))
+                    AS BIGINT) AS word_chars,
+                CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+                CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
+                CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+            FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id)
+        )
+        SELECT base.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+            NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+                AND coalesce((words - removed) * 5 >= words, TRUE) AS kept,
+            CAST(coalesce(removed, 0) AS BIGINT) AS common_words
+        FROM base LEFT JOIN judged USING (doc_id)""",
 }
