@@ -15,6 +15,7 @@ from ebbtide.llm import (
     language_profiles,
     line_rules,
     quality_kernel,
+    secret_forest,
     token_counts,
     toxicity_kernel,
     web_archives,
@@ -73,6 +74,12 @@ def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values are left out of the result; their digests tell them apart."""
+    found = secret_forest.scan_secrets(table(spark, sf_dir, "documents"))
+    return found.withColumn("value_sha256", F.sha2("value", 256)).drop("value")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_web_archives": op2_web_archives,
@@ -82,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
     "op8_language": op8_language,
     "op9_line_rules": op9_line_rules,
+    "op10_secrets": op10_secrets,
 }
 
 # Base 32 of a digest, five bits at a time, two of its hex digits around them.
