@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ebbtide.llm import (
     bpe_chunks,
     decontamination,
+    jaccard_join,
     language_profiles,
     line_rules,
     quality_kernel,
@@ -40,6 +41,10 @@ def op2_web_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web_archives.pages_through_archives(table(spark, sf_dir, "pages"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_counts.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -83,6 +88,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_web_archives": op2_web_archives,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_token_counts": op4_token_counts,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
