@@ -12,10 +12,12 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.llm.common import map_rows
+from ebbtide.plans import durable
 
 FEATURES, SEED, RIDGE = 256, 6, 1e-3
 MOST_ROWS = 200_000  # labelled rows a fit uses at most; beyond, a hash of doc_id samples
@@ -214,3 +216,29 @@ def labelled_statistics(stats: DataFrame, labels: DataFrame, label: str = "quali
         .agg((F.avg(label) >= 0.5).cast("int").alias("label"))
     )
     return stats.join(one, "doc_id")
+
+
+def kept_by_quality(
+    docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most_rows: int = MOST_ROWS
+) -> DataFrame:
+    """The rows of `docs`, all columns, that a model fitted to its labelled rows scores at
+    `threshold` or more.
+
+    At most about `most_rows` labels, drawn by a hash of doc_id, are sent to the documents; the
+    scores are worked out where the rows are, so no text is shuffled.
+    """
+    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
+    rate = min(1.0, most_rows / max(1, known.count()))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 2)), F.lit(1 << 20))
+    drawn = known.filter(draw < int(rate * (1 << 20))).select("doc_id", "quality").limit(2 * most_rows)
+    found = docs.select("doc_id", "text").join(F.broadcast(drawn.select("doc_id").distinct()), "doc_id")
+    stats = durable(document_statistics(found))
+    model = fit_quality(labelled_statistics(stats, drawn), most_rows)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        scores = sent.value.score(np.array([statistics(t) for t in texts]).reshape(-1, STATS))
+        return pd.Series(scores >= threshold)
+
+    return docs.filter(good(F.col("text")))
