@@ -23,6 +23,14 @@ def in_fold(key: str, parts: int, part: int) -> Column:
     return F.coalesce(rest == part, F.lit(False))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, made longer until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_rows(
     df: DataFrame,
     columns: Sequence[str],

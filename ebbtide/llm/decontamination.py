@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import map_rows
+from ebbtide.llm.common import map_rows, unused
 
 WINDOW = 13
 BLOCK_WORDS = 2_000_000  # benchmark words searched for in one pass; bounds what is sent out
@@ -238,8 +238,9 @@ def decontaminated(
     index = next(blocks)
     if next(blocks, None) is not None:  # several passes: decide per document and text
         bad = contamination(benchmark_matches(docs, benchmark, block_words), one_in)
-        bad = bad.filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-        return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+        doc = unused(docs, "_doc")
+        bad = bad.filter("contaminated").select(F.col("doc_id").alias(doc)).distinct()
+        return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(doc)), "left_anti")
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     @F.pandas_udf("boolean")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ebbtide.llm.common import map_rows
+from ebbtide.llm.common import map_rows, unused
 from ebbtide.llm.components import connected_components
 from ebbtide.plans import durable
 
@@ -424,7 +424,8 @@ def one_of_each_group(docs: DataFrame, size: int = 3, part: int = 9, whole: int
     """The rows of `docs`, all columns, whose document has the smallest doc_id of its component.
     Rows with a null doc_id stay."""
     found = jaccard_components(docs, size, part, whole)
-    gone = durable(found.filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct())
+    own = unused(docs, "_gone")
+    gone = durable(found.filter("component_id < doc_id").select(F.col("doc_id").alias(own)).distinct())
     if gone.count() <= SEND_AT_MOST:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, F.col("doc_id") == F.col(own), "left_anti")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ebbtide.llm.common import unused
 from ebbtide.plans import durable
 
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -188,16 +189,20 @@ def line_rules(docs: DataFrame, limit: int = LIMIT, left: int = LEFT) -> DataFra
 def without_common_lines(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """`docs`, all columns, with the lines above the limit taken out of `text`; documents
     without such lines keep theirs as it is."""
-    bad = (
+    doc, bad = unused(docs, "_doc"), unused(docs, "_bad")
+    found = (
         common_lines(docs, limit)
         .filter("common")
-        .groupBy(F.col("doc_id").alias("_doc"))
-        .agg(F.collect_list("line").alias("_bad"))
+        .groupBy(F.col("doc_id").alias(doc))
+        .agg(F.collect_list("line").alias(bad))
     )
-    keyed = F.split(_text(), "\n")
     plain = F.array_join(
-        F.filter(keyed, lambda x: ~F.array_contains("_bad", F.xxhash64("source", _line_form(x)))), "\n"
+        F.filter(
+            F.split(_text(), "\n"),
+            lambda x: ~F.array_contains(bad, F.xxhash64("source", _line_form(x))),
+        ),
+        "\n",
     )
-    joined = docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    text = F.when(F.col("_bad").isNull(), F.col("text")).otherwise(plain)
-    return joined.withColumn("text", text).drop("_doc", "_bad")
+    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col(doc)), "left")
+    text = F.when(F.col(bad).isNull(), F.col("text")).otherwise(plain)
+    return joined.withColumn("text", text).drop(doc, bad)

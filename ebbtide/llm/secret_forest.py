@@ -19,6 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ebbtide.llm.common import unused
 from ebbtide.plans import durable
 
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -229,12 +230,13 @@ def scan_secrets(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def redacted(docs: DataFrame, scanned: DataFrame, mask: str = MASK) -> DataFrame:
     """`docs`, all columns, with the secrets that `scan_secrets` found masked in `text`."""
+    doc, bad = unused(docs, "_doc"), unused(docs, "_bad")
     own = (
         scanned.filter("predicted = 1")
-        .groupBy(F.col("doc_id").alias("_doc"))
-        .agg(F.sort_array(F.collect_set(F.struct(F.length("value").alias("n"), "value")), asc=False).alias("_bad"))
+        .groupBy(F.col("doc_id").alias(doc))
+        .agg(F.sort_array(F.collect_set(F.struct(F.length("value").alias("n"), "value")), asc=False).alias(bad))
     )
-    masked = F.aggregate("_bad", F.col("text"), lambda t, b: F.replace(t, b["value"], F.lit(mask)))
-    joined = docs.join(own, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    text = F.when(F.col("_bad").isNull(), F.col("text")).otherwise(masked)
-    return joined.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    masked = F.aggregate(bad, F.col("text"), lambda t, b: F.replace(t, b["value"], F.lit(mask)))
+    joined = docs.join(own, F.col("doc_id").eqNullSafe(F.col(doc)), "left")
+    text = F.when(F.col(bad).isNull(), F.col("text")).otherwise(masked)
+    return joined.withColumn("text", text).drop(doc, bad)

@@ -265,17 +265,17 @@ def fit_toxicity(
     """A model from the labelled documents, at most about `per_class` of each class.
 
     Two thirds of them give the labelled sentences for the words' machine, the rest the
-    logistic function from a document's strongest words to its label. Without rows, or with
-    one class only, all texts get that class's share (0.5 without rows).
+    logistic function from a document's strongest words to its label. Without rows or
+    words, or with one class only, all texts get the share of label 1 (0.5 without rows).
     """
     sample = _sample(docs, labels, label, per_class)
     shares = sample.agg(F.count(F.lit(1)), F.sum("label")).first()
     n, toxic = shares[0], shares[1] or 0
-    if not 0 < toxic < n:
-        share = (toxic + 1e-9) / n if n else 0.5
+    counted = _word_labels(labelled_sentences(sample.filter("part < 2"))) if 0 < toxic < n else []
+    if not counted:
+        share = toxic / n if n else 0.5
         odds = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
         return ToxicityModel(np.zeros(PLACES + 1), -1.0, np.array([0.0] * SUMMARY + [odds]))
-    counted = _word_labels(labelled_sentences(sample.filter("part < 2")))
     words = [w for w, _, _ in counted]
     up = np.array([p for _, p, _ in counted], float)
     down = np.array([q for _, _, q in counted], float)
