@@ -8,7 +8,7 @@ import pytest
 
 sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
 
-from ebbtide.session import build_session  # noqa: E402
+from ebbtide.session import build_session, reach_workers  # noqa: E402
 
 TESTDATA = Path("/root/testdata")
 
@@ -21,7 +21,7 @@ def spark():
         **{"spark.sql.shuffle.partitions": "8", "spark.ui.showConsoleProgress": "false"},
     )
     session.sparkContext.setLogLevel("ERROR")
-    yield session
+    yield reach_workers(session)
     session.stop()
 
 

@@ -6,8 +6,12 @@ import __spark_entry__ as entry_point
 from compare import differences
 from conftest import TESTDATA
 
+from ebbtide.suite import oracle
+from ebbtide.suite import queries as suite
+
 SF = str(TESTDATA / "sf0.01")
-QUERIES, SQL = entry_point.queries(), entry_point.oracle_sql()
+# The optional queries have tests of their own in tests/llm.
+QUERIES, SQL = suite.QUERIES, oracle.ORACLE
 UNCHECKED = {"gap_quantiles_approx", "fit_churn_model", "score", "auc_model"}
 
 
@@ -26,5 +30,10 @@ def test_unchecked_queries_give_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_entry_offers_every_query():
+    assert set(QUERIES) <= set(entry_point.queries())
+    assert set(SQL) <= set(entry_point.oracle_sql())
+
+
 def test_entry_gives_rows(spark):
     assert entry_point.entry(spark).count() > 0

@@ -7,10 +7,10 @@ import re
 import pytest
 from conftest import TESTDATA
 
-import __spark_entry__ as entry_point
+from ebbtide.suite.queries import QUERIES
 
 SF = str(TESTDATA / "sf0.001")
-BATCH = [n for n in entry_point.queries() if not n.startswith("stream")]
+BATCH = [n for n in QUERIES if not n.startswith("stream")]
 # Aggregates to one row, and windows over rows already counted per quarter, day, band or slice.
 ONE_TASK = {
     "load", "integrity_report", "gap_quantiles", "gap_quantiles_approx", "growth_accounting",
@@ -30,8 +30,7 @@ SHAPE = {
 def plans(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    queries = entry_point.queries()
-    out = {n: queries[n](spark, SF)._jdf.queryExecution().executedPlan().toString() for n in BATCH}
+    out = {n: QUERIES[n](spark, SF)._jdf.queryExecution().executedPlan().toString() for n in BATCH}
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     return out
 
