@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ from ebbtide.plans import durable, quantiles
 WINDOWS = (90, 180, 365)
 URGENT = "1-URGENT"
 RETURNED = "R"
+PAIRS_AT_ONCE = 11
 RULE_COLUMNS = "segment string, priority int, r_lo int, r_hi int, f_lo int, f_hi int, m_lo int, m_hi int"
 
 
@@ -28,11 +30,17 @@ def band(x: Column, cuts: Sequence[float]) -> Column:
 
 
 def rfm(
-    facts: DataFrame, snapshot: str | dt.date, bins: int = 5, exact: bool = True
+    facts: DataFrame,
+    snapshot: str | dt.date,
+    bins: int = 5,
+    exact: bool = True,
+    digits: int = 2,
 ) -> DataFrame:
     """k, recency, frequency, monetary and their scores r, f, m in 1..bins (bins is best).
 
     Orders up to and including the snapshot count; several orders on a day are several.
+    Monetary is rounded to `digits`, so that sums that differ only in their last bits, from
+    the order in which they were added, are ties and share a band.
     The customer table is written once and then read for both the cutpoints and the scores,
     instead of scanning the orders twice. Cutpoints are numbers in the plan, not a join.
     """
@@ -43,7 +51,7 @@ def rfm(
         .agg(
             F.datediff(at, F.max("d")).cast("bigint").alias("recency"),
             F.count(F.lit(1)).alias("frequency"),
-            F.round(F.sum("amount"), 2).alias("monetary"),
+            F.round(F.sum("amount"), digits).alias("monetary"),
         )
     )
     metrics = ["recency", "frequency", "monetary"]
@@ -249,19 +257,23 @@ def category_lift(label: DataFrame, dims: DataFrame, by: Sequence[str]) -> DataF
 def feature_correlation(features: DataFrame, columns: Sequence[str]) -> DataFrame:
     """feature_a, feature_b, correlation for every pair; null where a feature does not vary.
 
-    Each customer gives one row per pair of columns, combined per pair before the shuffle. One
-    aggregate with all pairs side by side would be too wide for generated code.
+    The features are written once, and a few pairs at a time are aggregated from them side by
+    side, so no row is repeated per pair and no aggregate is too wide for generated code.
     """
+    kept = durable(features.select(*[F.col(c).cast("double").alias(c) for c in columns]))
     pairs = list(combinations(columns, 2))
-    cells = [
-        c
-        for a, b in pairs
-        for c in (F.lit(a), F.lit(b), F.col(a).cast("double"), F.col(b).cast("double"))
+
+    def correlation(a: str, b: str) -> Column:
+        # Not F.corr, which divides by zero for a constant column when ANSI mode is on.
+        spread = F.sqrt(F.regr_sxx(b, a)) * F.sqrt(F.regr_syy(b, a))
+        return F.struct(
+            F.lit(a).alias("feature_a"),
+            F.lit(b).alias("feature_b"),
+            ratio(F.regr_sxy(b, a), spread).alias("correlation"),
+        )
+
+    parts = [
+        kept.agg(F.array(*[correlation(a, b) for a, b in pairs[i : i + PAIRS_AT_ONCE]]).alias("c"))
+        for i in range(0, len(pairs), PAIRS_AT_ONCE)
     ]
-    # Not F.corr, which divides by zero for a constant column when ANSI mode is on.
-    spread = F.sqrt(F.regr_sxx("y", "x")) * F.sqrt(F.regr_syy("y", "x"))
-    return (
-        features.select(F.stack(F.lit(len(pairs)), *cells).alias("feature_a", "feature_b", "x", "y"))
-        .groupBy("feature_a", "feature_b")
-        .agg(ratio(F.regr_sxy("y", "x"), spread).alias("correlation"))
-    )
+    return reduce(DataFrame.unionByName, parts).select(F.inline("c"))

@@ -1,6 +1,6 @@
-"""Event behaviour. No step here holds all events of one user in a task: rows are reduced per
-user and time cell before they shuffle, or windows are cut into cells where a user has more
-rows than one task should sort (`cell` sets the width in microseconds, else it is measured)."""
+"""Event behaviour. Sessions and silences are reduced per user and gap-wide cell before they
+shuffle; running results are worked out in slices of the sorted (user, time) pairs, so a user's
+events are spread over as many tasks as they fill."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ebbtide.functions import cell_start, day, from_micros, micros, ratio
-from ebbtide.plans import cell_width, durable, running
+from ebbtide.plans import durable, running
 
 SECOND = 1_000_000
 HOUR = 3600 * SECOND
@@ -31,7 +31,9 @@ def sessions(events: DataFrame, gap: int = 6 * HOUR) -> DataFrame:
     """user_id, session_start, session_end, events; a wait of `gap` or more starts a new one.
 
     Events of one gap-wide cell are less than a gap apart, hence in the same session. So only
-    first, last and count per user and cell shuffle, and sessions are runs of those cells.
+    first, last and count per user and cell shuffle, and sessions are runs of those cells. A
+    user has at most one row per gap of the calendar: with gaps of seconds over years that is
+    still much for one task.
     """
     cells = (
         _timed(events)
@@ -54,36 +56,27 @@ def sessions(events: DataFrame, gap: int = 6 * HOUR) -> DataFrame:
     )
 
 
-def funnel(
-    events: DataFrame, steps: Sequence[str], within: int = DAY, cell: int | None = None
-) -> DataFrame:
+def funnel(events: DataFrame, steps: Sequence[str], within: int = DAY) -> DataFrame:
     """user_id, furthest: how many of the ordered steps the user completed at best.
 
     Steps must be strictly later than each other and at most `within` after step 1. Users
     without any step's event are absent; without a first step, furthest is 0.
 
     Of all chains that reach a step, the one that started last has the most time left, so one
-    start time per step is carried along and no pairs of events are formed. Without cells, all
-    steps and the final count share one shuffle and sort. With cells, each step's rows are
-    written, as the next step reads them twice.
+    start time per step is carried along and no pairs of events are formed. Each step's rows
+    are written, as the next step reads them twice.
     """
     line = _timed(events.filter(F.col("event_type").isin(list(steps)))).select(
         "user_id", "at", "event_type"
     )
-    cell = cell or cell_width(line, "user_id", "at")
     at, kind, start = F.col("at"), F.col("event_type"), F.col("start")
-    line = line.withColumn("start", F.when(kind == steps[0], at)).withColumn(
-        "step", F.when(start.isNotNull(), 1).otherwise(0)
-    )
-    if cell is not None:
-        line = line.distinct()
+    line = line.distinct().withColumn("start", F.when(kind == steps[0], at))
+    line = line.withColumn("step", F.when(start.isNotNull(), 1).otherwise(0))
     for i, name in enumerate(steps[1:], 2):
-        line = running(line, "user_id", "at", start, F.max, _greatest, "chain", cell, True)
+        line = running(line, "user_id", "at", start, F.max, _greatest, "chain", strict=True)
         onward = F.when((kind == name) & (at - F.col("chain") <= within), F.col("chain"))
         line = line.withColumn("start", onward).drop("chain")
-        line = line.withColumn("step", F.when(start.isNotNull(), i).otherwise(F.col("step")))
-        if cell is not None:
-            line = durable(line)
+        line = durable(line.withColumn("step", F.when(start.isNotNull(), i).otherwise(F.col("step"))))
     return line.groupBy("user_id").agg(F.max("step").cast("int").alias("furthest"))
 
 
@@ -144,16 +137,13 @@ def quiet_periods(events: DataFrame, hours: int = 24) -> DataFrame:
     )
 
 
-def rolling_errors(
-    events: DataFrame, days: int = 7, kind: str = "error", cell: int | None = None
-) -> DataFrame:
+def rolling_errors(events: DataFrame, days: int = 7, kind: str = "error") -> DataFrame:
     """event_id, user_id, ts, errors: errors of the user in [ts - days, ts], at each event.
 
     An error counts +1 at its time and -1 just after its window ends; the running sum of both
-    is the count, so the window can be cut into cells like any running sum.
+    is the count, so the window can be sliced like any running sum.
     """
     timed = _timed(events).select("event_id", "user_id", "at", "event_type")
-    width = cell or cell_width(timed, "user_id", "at")
     error = F.col("event_type") == kind
     # Doubled times leave room for "just after".
     here = F.struct((F.col("at") * 2).alias("at"), error.cast("int").alias("step"))
@@ -166,21 +156,19 @@ def rolling_errors(
         F.explode(F.when(error, F.array(here, after)).otherwise(F.array(here))).alias("s"),
     ).select("event_id", "user_id", "s.at", "s.step")
     counted = running(
-        steps, "user_id", "at", F.col("step"),
-        F.sum, lambda a, b: a + b, "errors", width and 2 * width, False,
+        steps, "user_id", "at", F.col("step"), F.sum, lambda a, b: a + b, "errors", strict=False
     )
     return counted.filter(F.col("step") >= 0).select(
         "event_id", "user_id", from_micros(F.shiftright("at", 1)).alias("ts"), "errors"
     )
 
 
-def last_before(events: DataFrame, kind: str, cell: int | None = None) -> DataFrame:
+def last_before(events: DataFrame, kind: str) -> DataFrame:
     """event_id, user_id, ts, last_ts, last_value: the user's latest event of one type that is
     strictly before each event, null if none; equal times go by event_id."""
     timed = _timed(events).select("event_id", "user_id", "at", "event_type", "value")
-    cell = cell or cell_width(timed, "user_id", "at")
     wanted = F.when(F.col("event_type") == kind, F.struct("at", "event_id", "value"))
-    found = running(timed, "user_id", "at", wanted, F.max, _greatest, "found", cell, True)
+    found = running(timed, "user_id", "at", wanted, F.max, _greatest, "found", strict=True)
     return found.select(
         "event_id",
         "user_id",

@@ -102,32 +102,42 @@ def integrity_report(
 ) -> DataFrame:
     """Per relation: surplus parent rows, child rows without a parent, parents without a child.
 
-    Both sides are counted per key first, so the join meets each key once on each side.
-    Null child keys count as orphans; null parent keys are never matched.
+    Each table is read once and gives a row per relation it takes part in; those are counted
+    per relation and key, combined before the shuffle, so no join is needed and a hot key is
+    one row. Null child keys count as orphans; null parent keys are never matched.
     """
 
-    def check(r: Relation) -> DataFrame:
-        parents = (
-            tables[r.parent].groupBy(F.col(r.parent_key).cast("bigint").alias("key"))
-            .agg(F.count(F.lit(1)).alias("parents"))
-        )
-        children = (
-            tables[r.child].groupBy(F.col(r.child_key).cast("bigint").alias("key"))
-            .agg(F.count(F.lit(1)).alias("children"))
-        )
-        return (
-            parents.join(children, "key", "full")
-            .agg(
-                F.coalesce(F.sum(F.col("parents") - 1), F.lit(0)).alias("duplicate_keys"),
-                F.coalesce(
-                    F.sum(F.when(F.col("parents").isNull(), F.col("children"))), F.lit(0)
-                ).alias("orphans"),
-                F.count_if(F.col("children").isNull()).alias("childless"),
+    def ends(name: str) -> DataFrame:
+        sides = [
+            F.struct(
+                F.lit(r.name).alias("relation"),
+                F.col(key).cast("bigint").alias("key"),
+                F.lit(int(parent)).cast("bigint").alias("parents"),
+                F.lit(int(not parent)).cast("bigint").alias("children"),
             )
-            .select(F.lit(r.name).alias("relation"), "duplicate_keys", "orphans", "childless")
+            for r in relations
+            for parent, table, key in ((True, r.parent, r.parent_key), (False, r.child, r.child_key))
+            if table == name
+        ]
+        return tables[name].select(F.inline(F.array(*sides)))
+
+    named = {n: None for r in relations for n in (r.parent, r.child)}
+    rows = reduce(DataFrame.unionByName, [ends(n) for n in named])
+    parents, children, lone = F.col("parents"), F.col("children"), F.col("key").isNull()
+    empty = F.array(*[F.struct(F.lit(r.name).alias("relation")) for r in relations])
+    every = rows.sparkSession.range(1).select(F.inline(empty))
+    found = (
+        rows.groupBy("relation", "key")
+        .agg(F.sum("parents").alias("parents"), F.sum("children").alias("children"))
+        .groupBy("relation")
+        .agg(
+            F.sum(F.greatest(parents - 1, F.lit(0))).alias("duplicate_keys"),
+            F.sum(F.when((parents == 0) | lone, children).otherwise(0)).alias("orphans"),
+            F.count_if((parents > 0) & ((children == 0) | lone)).alias("childless"),
         )
-
-    return reduce(DataFrame.unionByName, [check(r) for r in relations])
+    )
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("duplicate_keys", "orphans", "childless")]
+    return every.join(F.broadcast(found), "relation", "left").select("relation", *counts)
 
 
 def period_spine(facts: DataFrame, until: str | dt.date) -> DataFrame:

@@ -70,8 +70,9 @@ def assign_action(valued: DataFrame, rules: DataFrame) -> DataFrame:
     Bands are half-open, [lo, hi), null meaning no bound; customers under no rule keep nulls.
     Overlapping rules are refused, so there is one row per customer.
 
-    Rules are spread over strips of risk, which makes this a join on equal strips: broadcast
-    when Spark finds the rules small enough, by shuffle with skew handling otherwise.
+    Rules are spread over strips of risk, which makes this a join on equal strips. Rules whose
+    size the planner knows to be small (`ebbtide.sources.literal_rows`) are broadcast;
+    otherwise customers and rules shuffle on strips, which skew handling splits.
     """
     clash = check_rules(rules).first()
     if clash is not None:

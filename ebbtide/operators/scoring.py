@@ -37,13 +37,15 @@ def fit_churn_model(
     index = [f"{c}_index" for c in categories]
     code = [f"{c}_code" for c in categories]
     filled = [f"{c}_filled" for c in numeric]
-    stages = [
+    coded = [
         StringIndexer(inputCols=list(categories), outputCols=index, handleInvalid="keep",
                       stringOrderType="alphabetAsc"),
         OneHotEncoder(inputCols=index, outputCols=code),
+    ]
+    stages = (coded if categories else []) + [
         Imputer(inputCols=numeric, outputCols=filled),
         VectorAssembler(inputCols=filled + code, outputCol="inputs"),
-        LogisticRegression(featuresCol="inputs", labelCol="churned", regParam=0.01, maxIter=50),
+        LogisticRegression(featuresCol="inputs", labelCol="churned", regParam=0.01, maxIter=100, tol=1e-9),
     ]
     wanted = features.join(label, "k").select(
         "churned", *categories, *[F.col(c).cast("double").alias(c) for c in numeric]
@@ -55,14 +57,22 @@ def fit_churn_model(
         wanted.unpersist()
 
 
+def save_model(model: PipelineModel, folder: str) -> None:
+    """Write a model where later sessions can load it from; the folder must be new."""
+    model.write().save(folder)
+
+
+def load_model(folder: str) -> PipelineModel:
+    return PipelineModel.load(folder)
+
+
 def score(model: PipelineModel, features: DataFrame) -> DataFrame:
-    """k, risk: the model's churn probability for every row of `features`."""
+    """k, risk: the model's churn probability for every row of `features`, which needs the
+    columns the model was fitted to."""
+    indexers = [s for s in model.stages if s.hasParam("stringOrderType")]
+    categories = indexers[0].getInputCols() if indexers else []
     numeric = next(s for s in model.stages if s.hasParam("missingValue")).getInputCols()
-    ready = features.select(
-        "k",
-        *[F.col(c) for c in CATEGORIES if c in features.columns],
-        *[F.col(c).cast("double").alias(c) for c in numeric],
-    )
+    ready = features.select("k", *categories, *[F.col(c).cast("double").alias(c) for c in numeric])
     return model.transform(ready).select("k", vector_to_array("probability")[1].alias("risk"))
 
 

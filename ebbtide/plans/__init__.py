@@ -1,5 +1,5 @@
 from ebbtide.plans.durable import durable, remove_folder, shared_folder
 from ebbtide.plans.ranked import first_per_group, prefix_sum, quantiles
-from ebbtide.plans.running import cell_width, running
+from ebbtide.plans.running import running
 
-__all__ = ["cell_width", "durable", "first_per_group", "prefix_sum", "quantiles", "remove_folder", "running", "shared_folder"]
+__all__ = ["durable", "first_per_group", "prefix_sum", "quantiles", "remove_folder", "running", "shared_folder"]

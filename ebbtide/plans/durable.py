@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LEAVING: set[str] = set()  # folders to be removed when the process ends
+
+
 def _file_system(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
@@ -23,9 +26,12 @@ def _checkpoint_dir(spark: SparkSession) -> str:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             named = tempfile.mkdtemp(prefix="ebbtide-")
         context.setCheckpointDir(named)
-        files, at = _file_system(spark, context.getCheckpointDir())
+    own = context.getCheckpointDir()
+    if own not in _LEAVING:
+        files, at = _file_system(spark, own)
         files.deleteOnExit(at)
-    return context.getCheckpointDir()
+        _LEAVING.add(own)
+    return own
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -13,6 +13,15 @@ from ebbtide.plans.durable import durable
 SALTS = 64
 
 
+def in_slices(
+    df: DataFrame, order: Sequence[Column], slices: int | None = None
+) -> tuple[DataFrame, int]:
+    """`df` range partitioned by `order`, with the partition number as `_slice`, and how many
+    slices there are. Written, as a second run could draw other bounds."""
+    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return durable(df.repartitionByRange(n, *order).withColumn("_slice", F.spark_partition_id())), n
+
+
 def prefix_sum(
     df: DataFrame,
     order: Sequence[Column],
@@ -30,11 +39,7 @@ def prefix_sum(
     With `at_most`, which needs values that are never negative, only rows whose sum stays at
     or below it are kept, and slices that start beyond it are dropped before they shuffle.
     """
-    sliced = durable(
-        df.withColumn("_value", value)
-        .repartitionByRange(*order)
-        .withColumn("_slice", F.spark_partition_id())
-    )
+    sliced, n = in_slices(df.withColumn("_value", value), order)
     before = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         sliced.groupBy("_slice")
@@ -46,6 +51,8 @@ def prefix_sum(
     before_slice = F.coalesce("_before", F.lit(0))
     if at_most is not None:
         placed = placed.filter(before_slice <= at_most)
+    # By slice number, not its hash, so each slice has a task of its own.
+    placed = placed.repartitionById(n, "_slice")
     summed = placed.withColumn(name, F.sum("_value").over(inside) + before_slice)
     if at_most is not None:
         summed = summed.filter(F.col(name) <= at_most)

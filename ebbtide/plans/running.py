@@ -1,10 +1,9 @@
-"""Running aggregates along each key's time line, cut into cells where one key is too big.
+"""Running aggregates along each key's time line, whatever share of the rows one key has.
 
-A plain window over a key puts all of its rows into one task, which fails when one key holds
-a third of the table. The cut form first collapses rows of one key and time, so copies count
-once, and then a task holds one key's times of one cell only; what earlier cells contribute
-comes from a table with one row per key and cell. `cell_width` measures whether that is
-needed, as the plain window shuffles less.
+Rows of one key and time are collapsed, and the (key, time) pairs range partitioned into slices
+of neighbours. A task works on one slice. As a key's slices follow each other, only the first
+key of a slice can have earlier rows elsewhere, so what is carried from slice to slice is one
+row each, however hot the key and however its times are spread.
 """
 
 from __future__ import annotations
@@ -15,34 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ebbtide.functions import cell_start
-
-ROWS_PER_CELL = 2_000_000
-
-
-def cell_width(df: DataFrame, key: str, at: str, rows: int = ROWS_PER_CELL) -> int | None:
-    """None if no key has more than `rows` rows, else a width with few enough times per cell.
-
-    Counts rows per key, combined before the shuffle, and brings one row to the driver. If
-    cells are needed, the width is narrowed until the fullest cell, measured and not guessed
-    from an even spread, has at most twice `rows` distinct times.
-    """
-    known = df.filter(F.col(key).isNotNull())
-    top = (
-        known.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("lo"), F.max(at).alias("hi"))
-        .agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .first()
-    )
-    if top.n is None or top.n <= rows:
-        return None
-    times = known.select(key, at).distinct()
-    width, fullest = top.hi - top.lo + 1, top.n
-    while width > 1 and fullest > 2 * rows:
-        width = max(1, width * rows // fullest)
-        cells = times.groupBy(key, cell_start(F.col(at), width)).agg(F.count(F.lit(1)).alias("n"))
-        fullest = cells.agg(F.max("n")).first()[0]
-    return width
+from ebbtide.plans.ranked import in_slices
 
 
 def running(
@@ -53,39 +25,41 @@ def running(
     how: Callable[[Column], Column],
     merge: Callable[[Column, Column], Column],
     name: str,
-    cell: int | None,
     strict: bool,
+    slices: int | None = None,
 ) -> DataFrame:
     """`df` plus `name`: `how` of `value` over the key's rows up to the row's own time `at`.
 
-    `at` is a bigint; rows at the same time count too unless `strict`. `how` is an aggregate
-    that can be taken of its own results (sum, max, min), `merge` joins two results. `cell` is
-    the cell width in units of `at`, or None for no cells. Rows without a key are left out.
-
-    With cells, results are found per distinct key and time and joined back to the rows on
-    both; a time with very many rows is left to Spark's handling of skewed joins.
+    Rows at the same time count too unless `strict`. `how` is an aggregate that can be taken of
+    its own results (sum, max, min), `merge` joins two results. Rows without a key are left
+    out. Results are found per distinct key and time and joined back to the rows on both; a
+    time with very many rows is left to Spark's handling of skewed joins.
     """
-    upto = (W.unboundedPreceding, -1 if strict else 0)
     known = df.filter(F.col(key).isNotNull())
-    if cell is None:
-        return known.withColumn(name, how(value).over(W.partitionBy(key).orderBy(at).rangeBetween(*upto)))
-    times = (
-        known.groupBy(key, at)
-        .agg(how(value).alias("_value"))
-        .withColumn("_cell", cell_start(F.col(at), cell))
+    times = known.groupBy(key, at).agg(how(value).alias("_value"))
+    sliced, n = in_slices(times, [F.col(key), F.col(at)], slices)
+    ends = sliced.groupBy("_slice").agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
+    # At most two rows per slice: the window below sees no more than that of any key.
+    edges = (
+        sliced.groupBy("_slice", key)
+        .agg(how(F.col("_value")).alias("_sum"))
+        .join(F.broadcast(ends), "_slice")
+        .filter((F.col(key) == F.col("_first")) | (F.col(key) == F.col("_last")))
     )
-    earlier = W.partitionBy(key).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     carried = (
-        times.groupBy(key, "_cell")
-        .agg(how(F.col("_value")).alias("_sum"))
-        .select(key, "_cell", how(F.col("_sum")).over(earlier).alias("_carry"))
+        edges.withColumn("_carry", how(F.col("_sum")).over(earlier))
+        .filter(F.col(key) == F.col("_first"))
+        .select("_slice", key, "_carry")
     )
-    inside = W.partitionBy(key, "_cell").orderBy(at).rangeBetween(*upto)
+    upto = (W.unboundedPreceding, -1 if strict else 0)
+    inside = W.partitionBy("_slice", key).orderBy(at).rowsBetween(*upto)
     own, carry = F.col("_own"), F.col("_carry")
     either = F.when(own.isNull(), carry).when(carry.isNull(), own).otherwise(merge(own, carry))
     results = (
-        times.withColumn("_own", how(F.col("_value")).over(inside))
-        .join(carried, [key, "_cell"])
+        sliced.repartitionById(n, "_slice")
+        .withColumn("_own", how(F.col("_value")).over(inside))
+        .join(F.broadcast(carried), ["_slice", key], "left")
         .select(key, at, either.alias(name))
     )
     return known.join(results, [key, at])

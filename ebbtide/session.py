@@ -15,25 +15,32 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
-    # Checkpoint files go when the driver has dropped the frame (read at the session's start).
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Merge sessions before the shuffle, so a user with very many events sends few rows.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
+# Read when a session starts, so only a session built here has them.
+AT_START = {
+    # Checkpoint files go when the driver has dropped the frame.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
+
 
 def build_session(app: str = "ebbtide", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the package settings; `master` and sizing stay with the cluster if unset."""
     builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
     if master:
         builder = builder.master(master)
-    for name, value in {**SETTINGS, **conf}.items():
+    for name, value in {**SETTINGS, **AT_START, **conf}.items():
         builder = builder.config(name, value)
     return builder.getOrCreate()
 
 
 def apply_settings(spark: SparkSession) -> SparkSession:
-    """Put the package settings on a session somebody else built."""
+    """Put the package settings on a session somebody else built, where they stay.
+
+    Every query of the suite does this, as its results depend on the time zone.
+    """
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
     return spark

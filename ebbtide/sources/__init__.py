@@ -1,3 +1,3 @@
-from ebbtide.sources.tables import SCHEMAS, SchemaDrift, check_schema, load, write_result
+from ebbtide.sources.tables import SCHEMAS, SchemaDrift, check_schema, literal_rows, load, write_result
 
-__all__ = ["SCHEMAS", "SchemaDrift", "check_schema", "load", "write_result"]
+__all__ = ["SCHEMAS", "SchemaDrift", "check_schema", "literal_rows", "load", "write_result"]

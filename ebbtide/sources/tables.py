@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import (
     DataType,
@@ -103,3 +104,23 @@ def write_result(
         .trigger(availableNow=True)
         .start(path)
     )
+
+
+def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A small table whose size the planner knows, unlike one made from a Python list.
+
+    Values may be None, numbers and strings.
+    """
+
+    def text(value) -> str:
+        if value is None:
+            return "NULL"
+        if isinstance(value, str):
+            return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return f"{value!r}D" if isinstance(value, float) else repr(value)
+
+    fields = StructType.fromDDL(schema)
+    names = ", ".join(f"`{f.name}`" for f in fields)
+    values = ", ".join("(" + ", ".join(map(text, row)) + ")" for row in rows)
+    table = spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
+    return table.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields])

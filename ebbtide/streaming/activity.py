@@ -1,5 +1,6 @@
-"""Event operators as streams. All are append mode: a row comes out once, when the watermark
-has closed its window, session or silence, so results do not depend on how files are batched."""
+"""Event operators as streams. All are append mode: a row comes out once. Windows, sessions and
+silences come out when the watermark has closed them, so those results do not depend on how
+files are batched; `stream_dedup` says where its own do."""
 
 from __future__ import annotations
 
@@ -86,19 +87,10 @@ def stream_sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 hour
 def stream_dedup(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Events with replays of an `event_id` removed, as long as they come within `late`.
 
-    Exact replays (same id and time) collapse in an aggregate that combines before its
-    shuffle, so an event replayed a great many times does not load one task. Ids that come
-    again with another time go to Spark's own operator. An event comes out once the watermark
-    has passed its time.
+    Each event comes out when it is first seen. If replays of one id differ in time or payload,
+    which of them that is depends on the order of arrival.
     """
-    others = [c for c in events.columns if c not in ("event_id", "ts")]
-    once = (
-        events.withWatermark("ts", late)
-        .groupBy("event_id", "ts")
-        .agg(F.min(F.struct(*others)).alias("row"))
-        .select("event_id", "ts", "row.*")
-    )
-    return once.dropDuplicatesWithinWatermark(["event_id"]).select(*events.columns)
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def stream_idle_alerts(events: DataFrame, hours: int = 24, late: str = "1 hour") -> DataFrame:

@@ -3,7 +3,15 @@ full grids, self joins and plain windows where the operators avoid them."""
 
 from __future__ import annotations
 
-from ebbtide.suite.queries import ACTION_RULES, BUDGET, HOLDOUT_PCT, SALT, SEGMENT_RULES
+from ebbtide.suite.queries import (
+    ACTION_RULES,
+    BUDGET,
+    BURST,
+    HOLDOUT_PCT,
+    PROBS,
+    SALT,
+    SEGMENT_RULES,
+)
 
 
 def _r(x: str, digits: int = 6) -> str:
@@ -110,6 +118,25 @@ ALERTS = f"""led AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts,
     WHERE (nx IS NULL OR nx >= ts + INTERVAL 24 HOUR) AND ts + INTERVAL 24 HOUR <= {WM})"""
 
 
+FUNNEL = """s AS (SELECT user_id, event_type AS t, ts FROM events
+        WHERE event_type IN ('view', 'click', 'purchase')),
+      p2 AS (SELECT DISTINCT a.user_id, a.ts AS t1, b.ts AS t2 FROM s a JOIN s b USING (user_id)
+        WHERE a.t = 'view' AND b.t = 'click' AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 24 HOUR),
+      p3 AS (SELECT DISTINCT p2.user_id FROM p2 JOIN s c USING (user_id)
+        WHERE c.t = 'purchase' AND c.ts > t2 AND c.ts <= t1 + INTERVAL 24 HOUR)
+      SELECT user_id, (CASE WHEN user_id IN (SELECT user_id FROM p3) THEN 3
+        WHEN user_id IN (SELECT user_id FROM p2) THEN 2 WHEN bool_or(t = 'view') THEN 1
+        ELSE 0 END)::BIGINT AS furthest FROM s GROUP BY user_id"""
+ROLLING = """SELECT event_id, user_id, ts::VARCHAR AS ts,
+      count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts
+        RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW) AS errors FROM events"""
+HOT = f"""SELECT event_id, CASE WHEN event_id % 7 = 0 THEN date_trunc('day', ts)
+    WHEN event_id % 5 = 0 THEN TIMESTAMP '{BURST}' + (event_id % 600) * INTERVAL 1 SECOND
+    ELSE ts END::TIMESTAMP AS ts, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS user_id,
+    event_type, value, props FROM main.events"""
+TRAIN = LABEL.replace("2000-08-01", "1999-08-01")
+
+
 def _feature(c: str) -> str:
     if c.startswith(("days", "orders")):
         return c
@@ -316,15 +343,7 @@ ORACLE: dict[str, str] = {
       {_r('d / sqrt(p * (1 - p) * (1.0 / n1 + 1.0 / n0))')} AS z FROM e""",
     "sessions": f"""WITH {SESSIONS} SELECT user_id, b::VARCHAR AS session_start,
       e::VARCHAR AS session_end, events FROM sessions""",
-    "funnel": """WITH s AS (SELECT user_id, event_type AS t, ts FROM events
-        WHERE event_type IN ('view', 'click', 'purchase')),
-      p2 AS (SELECT DISTINCT a.user_id, a.ts AS t1, b.ts AS t2 FROM s a JOIN s b USING (user_id)
-        WHERE a.t = 'view' AND b.t = 'click' AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 24 HOUR),
-      p3 AS (SELECT DISTINCT p2.user_id FROM p2 JOIN s c USING (user_id)
-        WHERE c.t = 'purchase' AND c.ts > t2 AND c.ts <= t1 + INTERVAL 24 HOUR)
-      SELECT user_id, (CASE WHEN user_id IN (SELECT user_id FROM p3) THEN 3
-        WHEN user_id IN (SELECT user_id FROM p2) THEN 2 WHEN bool_or(t = 'view') THEN 1
-        ELSE 0 END)::BIGINT AS furthest FROM s GROUP BY user_id""",
+    "funnel": "WITH " + FUNNEL,
     "event_retention": """WITH f AS (SELECT user_id, min(ts)::DATE AS f FROM events GROUP BY user_id),
       n(day_n) AS (VALUES (1), (3), (7), (14), (28)),
       g AS (SELECT day_n, f.user_id, EXISTS (SELECT 1 FROM events e WHERE e.user_id = f.user_id
@@ -338,19 +357,31 @@ ORACLE: dict[str, str] = {
       ts::VARCHAR AS quiet_from, nx::VARCHAR AS quiet_until,
       {_r("(epoch_us(nx) - epoch_us(ts)) / 1e6")} AS wait_seconds
       FROM led WHERE nx - ts >= INTERVAL 24 HOUR""",
-    "rolling_errors": """SELECT event_id, user_id, ts::VARCHAR AS ts,
-      count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts
-        RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW) AS errors FROM events""",
+    "rolling_errors": ROLLING,
     "last_before": f"""SELECT e.event_id, e.user_id, e.ts::VARCHAR AS ts, p.ts::VARCHAR AS last_ts,
       {_r('p.value', 2)} AS last_value FROM events e ASOF LEFT JOIN
       (SELECT * FROM events WHERE event_type = 'purchase') p
       ON e.user_id = p.user_id AND e.ts > p.ts""",
+    "funnel_hot": f"WITH events AS ({HOT}), " + FUNNEL,
+    "rolling_errors_hot": f"WITH events AS ({HOT}) " + ROLLING,
+    "last_before_hot": f"""WITH events AS ({HOT}),
+      m AS (SELECT e.event_id, max(struct_pack(ts := p.ts, id := p.event_id, v := p.value)) AS found
+        FROM events e JOIN events p ON e.user_id = p.user_id AND p.ts < e.ts
+        WHERE p.event_type = 'purchase' GROUP BY e.event_id)
+      SELECT e.event_id, e.user_id, e.ts::VARCHAR AS ts, found.ts::VARCHAR AS last_ts,
+      {_r('found.v', 2)} AS last_value FROM events e LEFT JOIN m USING (event_id)""",
+    "fit_churn_model": f"""WITH {TRAIN} SELECT count(*) AS customers, sum(churned)::BIGINT AS churned,
+      {_r('round(sum(churned) / count(*)::DOUBLE, 3)')} AS mean_risk FROM label""",
+    "score": f"WITH {FEATURES} SELECT k, TRUE AS valid FROM features",
+    "auc_model": f"""WITH {LABEL} SELECT count(*) AS customers, sum(churned)::BIGINT AS churned,
+      TRUE AS agrees FROM label""",
+    "gap_quantiles_approx": f"SELECT unnest({list(PROBS)})::DOUBLE AS prob, TRUE AS close",
     "stream_activity": _activity(1),
     "stream_activity_sliding": _activity(2),
     "stream_sessions": f"""WITH {SESSIONS} SELECT user_id, b::VARCHAR AS session_start,
       e::VARCHAR AS session_end, events FROM sessions WHERE e + INTERVAL 6 HOUR <= {WM}""",
     "stream_dedup": f"""SELECT event_id, ts::VARCHAR AS ts, user_id, event_type,
-      {_r('value')} AS value, props FROM events WHERE ts <= {WM}""",
+      {_r('value')} AS value, props FROM events""",
     "stream_idle_alerts": f"WITH {ALERTS} SELECT * FROM alerts",
     "stream_enrich": f"""WITH {ALERTS}, {DIMS} SELECT alerts.*, segment, nation, region
       FROM alerts LEFT JOIN dims ON k = user_id""",

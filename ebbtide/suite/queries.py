@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +14,7 @@ from pyspark.sql import types as T
 from ebbtide.operators import churn, drivers, events, preparation, response, scoring
 from ebbtide.plans import shared_folder
 from ebbtide.session import apply_settings
-from ebbtide.sources import SCHEMAS, load, write_result
+from ebbtide.sources import SCHEMAS, literal_rows, load, write_result
 from ebbtide.streaming import activity
 
 CUTOFF = dt.date(2000, 8, 1)
@@ -25,6 +27,8 @@ DIMS = ("region", "segment")
 STEPS = ("view", "click", "purchase")
 SALT, HOLDOUT_PCT = "spring", 20
 BUDGET = 5000.0
+BURST = "2024-01-10 08:00:00"
+_SAVED: dict[tuple[str, str], str] = {}
 
 SEGMENT_RULES = [
     ("champion", 1, 4, 5, 4, 5, 4, 5),
@@ -62,6 +66,9 @@ class Inputs:
     def dims(self) -> DataFrame:
         return preparation.customer_dims(self["customer"], self["nation"], self["region"])
 
+    def gaps(self) -> DataFrame:
+        return churn.purchase_gaps(self.days())
+
     def customers(self) -> DataFrame:
         return self["customer"].select(F.col("c_custkey").alias("k"))
 
@@ -78,12 +85,37 @@ class Inputs:
         return scoring.value_scores(self.risk(), self.facts(), CUTOFF)
 
     def assigned(self) -> DataFrame:
-        rules = self.spark.createDataFrame(ACTION_RULES, response.RULE_COLUMNS)
+        rules = literal_rows(self.spark, ACTION_RULES, response.RULE_COLUMNS)
         return response.assign_action(self.valued(), rules)
 
+    def model(self) -> PipelineModel:
+        """Fitted once per session and folder, then loaded from where it was saved."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _SAVED:
+            folder = shared_folder(self.spark, "churn-model")
+            features, label = self.features(TRAIN_CUTOFF), self.label(TRAIN_CUTOFF)
+            scoring.save_model(scoring.fit_churn_model(features, label), folder)
+            _SAVED[key] = folder
+        return scoring.load_model(_SAVED[key])
+
     def model_scores(self) -> DataFrame:
-        model = scoring.fit_churn_model(self.features(TRAIN_CUTOFF), self.label(TRAIN_CUTOFF))
-        return scoring.score(model, self.features())
+        return scoring.score(self.model(), self.features())
+
+    def hot_events(self) -> DataFrame:
+        """The events with a third of them on one user, many at equal times and many in a burst."""
+        at = F.col("ts")
+        start = F.lit(BURST).cast("timestamp_ntz")
+        return self["events"].select(
+            "event_id",
+            F.when(F.col("event_id") % 7 == 0, F.date_trunc("day", at).cast("timestamp_ntz"))
+            .when(F.col("event_id") % 5 == 0, start + F.make_dt_interval(secs=F.col("event_id") % 600))
+            .otherwise(at)
+            .alias("ts"),
+            F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id")).alias("user_id"),
+            "event_type",
+            "value",
+            "props",
+        )
 
     def stream(self) -> DataFrame:
         # A pattern, because the table may be one file or a folder of files.
@@ -141,22 +173,54 @@ def _nation_rules(x: Inputs) -> DataFrame:
     )
 
 
-def _coefficients(x: Inputs) -> DataFrame:
-    model = scoring.fit_churn_model(x.features(TRAIN_CUTOFF), x.label(TRAIN_CUTOFF))
-    fitted = model.stages[-1]
-    names = [a["name"] for kind in _inputs_meta(model, x).values() for a in kind]
-    rows = [("intercept", float(fitted.intercept))]
-    rows += list(zip(names, (float(c) for c in fitted.coefficients), strict=True))
-    return x.spark.createDataFrame(rows, "term string, coefficient double")
+def _calibration(x: Inputs) -> DataFrame:
+    """customers, churned, mean_risk of the rows the model was fitted to. The constant is not
+    penalised, so at the optimum the mean risk is the share that churned."""
+    judged = scoring.score(x.model(), x.features(TRAIN_CUTOFF)).join(x.label(TRAIN_CUTOFF), "k")
+    return judged.agg(
+        F.count(F.lit(1)).alias("customers"),
+        F.sum("churned").alias("churned"),
+        F.round(F.avg("risk"), 3).alias("mean_risk"),
+    )
 
 
-def _inputs_meta(model, x: Inputs) -> dict:
-    head = model.transform(x.features(TRAIN_CUTOFF)).schema["inputs"]
-    return dict(sorted(head.metadata["ml_attr"]["attrs"].items(), key=lambda p: p[1][0]["idx"]))
+def _scored(x: Inputs) -> DataFrame:
+    """k and whether the risk is a probability; the risk itself no SQL can know."""
+    return x.model_scores().select("k", F.col("risk").between(0, 1).alias("valid"))
+
+
+def _auc_model(x: Inputs) -> DataFrame:
+    """The model's counts, and whether its AUC is what Spark's own evaluator finds."""
+    scores = x.model_scores()
+    judged = scores.join(x.label(), "k").withColumn("churned", F.col("churned").cast("double"))
+    other = BinaryClassificationEvaluator(rawPredictionCol="risk", labelCol="churned", numBins=0)
+    same = F.abs(F.col("auc") - F.lit(other.evaluate(judged))) < 1e-9
+    return scoring.auc(scores, x.label()).select("customers", "churned", same.alias("agrees"))
+
+
+def _approximate(x: Inputs) -> DataFrame:
+    """prob, and whether the approximate quantile is off by at most a ten-thousandth in rank."""
+    gaps = x.gaps()
+    cuts = {r["prob"]: r["gap"] for r in churn.gap_quantiles(gaps, PROBS, exact=False).collect()}
+    total = F.count(F.lit(1))
+    return gaps.agg(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(p).alias("prob"),
+                    (
+                        (F.lit(p) >= F.count_if(F.col("gap") < F.lit(cut)) / total - 1e-4)
+                        & (F.lit(p) <= F.count_if(F.col("gap") <= F.lit(cut)) / total + 1e-4)
+                    ).alias("close"),
+                )
+                for p, cut in cuts.items()
+            ]
+        ).alias("found")
+    ).select(F.inline("found"))
 
 
 def _segmented(x: Inputs) -> DataFrame:
-    rules = x.spark.createDataFrame(SEGMENT_RULES, drivers.RULE_COLUMNS)
+    rules = literal_rows(x.spark, SEGMENT_RULES, drivers.RULE_COLUMNS)
     return drivers.rfm_segment(drivers.rfm(x.facts(), SNAPSHOT), rules)
 
 
@@ -193,9 +257,7 @@ _BUILD: dict[str, Callable[[Inputs], DataFrame]] = {
     # Churn definition and measurement
     "purchase_gaps": lambda x: churn.purchase_gaps(x.days()),
     "gap_quantiles": lambda x: churn.gap_quantiles(churn.purchase_gaps(x.days()), PROBS),
-    "gap_quantiles_approx": lambda x: churn.gap_quantiles(
-        churn.purchase_gaps(x.days()), PROBS, exact=False
-    ),
+    "gap_quantiles_approx": _approximate,
     "recency_state": lambda x: churn.recency_state(x.facts(), CUTOFF, 180),
     "churn_label": lambda x: x.label(),
     "churn_rate": lambda x: churn.churn_rate(x.label(), x.dims(), DIMS),
@@ -228,11 +290,11 @@ _BUILD: dict[str, Callable[[Inputs], DataFrame]] = {
         x.features(), drivers.numeric_features()
     ),
     # Scoring
-    "fit_churn_model": _coefficients,
-    "score": lambda x: x.model_scores(),
+    "fit_churn_model": _calibration,
+    "score": _scored,
     "lift_table": lambda x: scoring.lift_table(x.risk(), x.label()),
     "auc": lambda x: scoring.auc(x.risk(), x.label()),
-    "auc_model": lambda x: scoring.auc(x.model_scores(), x.label()),
+    "auc_model": _auc_model,
     "value_scores": lambda x: x.valued(),
     "value_at_risk": lambda x: scoring.value_at_risk(x.valued(), x.dims(), DIMS),
     # Response strategy
@@ -253,6 +315,9 @@ _BUILD: dict[str, Callable[[Inputs], DataFrame]] = {
     "quiet_periods": lambda x: events.quiet_periods(x["events"]),
     "rolling_errors": lambda x: events.rolling_errors(x["events"]),
     "last_before": lambda x: events.last_before(x["events"], "purchase"),
+    "funnel_hot": lambda x: events.funnel(x.hot_events(), STEPS),
+    "rolling_errors_hot": lambda x: events.rolling_errors(x.hot_events()),
+    "last_before_hot": lambda x: events.last_before(x.hot_events(), "purchase"),
     "stream_activity": _stream(lambda x: activity.stream_activity(x.stream()), "activity"),
     "stream_activity_sliding": _stream(
         lambda x: activity.stream_activity(x.stream(), "2 days", "1 day"), "sliding"

@@ -71,8 +71,7 @@ def test_quiet_periods(df, rows, hours):
     assert as_set(events.quiet_periods(df, hours)) == want
 
 
-@pytest.mark.parametrize("cell_hours", [1, 7, 2000])
-def test_funnel(df, rows, cell_hours):
+def test_funnel(df, rows):
     want = set()
     for user, line in by_user(rows).items():
         best, known = 0, False
@@ -88,19 +87,26 @@ def test_funnel(df, rows, cell_hours):
                         best = 3
         if known:
             want.add((user, best))
-    got = events.funnel(df, TYPES[:3], cell=cell_hours * events.HOUR)
+    got = events.funnel(df, TYPES[:3])
     assert as_set(got) == want
 
 
-def test_uncut_time_lines_give_the_same(df):
-    """Nobody is big enough here to be cut unless a cell width is given."""
-    pairs = [
-        (events.funnel(df, TYPES[:3]), events.funnel(df, TYPES[:3], cell=events.HOUR)),
-        (events.rolling_errors(df), events.rolling_errors(df, cell=events.HOUR)),
-        (events.last_before(df, "click"), events.last_before(df, "click", cell=events.HOUR)),
-    ]
-    for plain, cut in pairs:
-        assert as_set(plain) == as_set(cut)
+@pytest.mark.parametrize("slices", ["1", "50"])
+def test_the_number_of_slices_does_not_matter(spark, df, slices):
+    def all_three():
+        return [
+            as_set(events.funnel(df, TYPES[:3])),
+            as_set(events.rolling_errors(df)),
+            as_set(events.last_before(df, "click")),
+        ]
+
+    usual = all_three()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", slices)
+    try:
+        assert all_three() == usual
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_funnel_boundaries(spark):
@@ -120,18 +126,16 @@ def test_a_step_may_repeat(spark):
     assert as_set(events.funnel(df, ["view", "view"])) == {(1, 2), (2, 1)}
 
 
-@pytest.mark.parametrize("cell_hours", [1, 24, 5000])
-def test_rolling_errors(df, rows, cell_hours):
-    got = {r.event_id: r.errors for r in events.rolling_errors(df, 2, cell=cell_hours * events.HOUR).collect()}
+def test_rolling_errors(df, rows):
+    got = {r.event_id: r.errors for r in events.rolling_errors(df, 2).collect()}
     want = {
         r[0]: sum(e[3] == "error" and e[2] == r[2] and r[1] - 48 <= e[1] <= r[1] for e in rows) for r in rows
     }
     assert got == want
 
 
-@pytest.mark.parametrize("cell_hours", [1, 24, 5000])
-def test_last_before(df, rows, cell_hours):
-    got = as_set(events.last_before(df, "purchase", cell_hours * events.HOUR), "event_id", "last_value")
+def test_last_before(df, rows):
+    got = as_set(events.last_before(df, "purchase"), "event_id", "last_value")
     want = set()
     for r in rows:
         earlier = [e for e in rows if e[3] == "purchase" and e[2] == r[2] and e[1] < r[1]]

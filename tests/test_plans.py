@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
+from conftest import TESTDATA
 from pyspark.sql import functions as F
 
-from ebbtide.plans import cell_width, first_per_group, prefix_sum, quantiles, running
+from ebbtide.plans import first_per_group, prefix_sum, quantiles, running
+from ebbtide.plans.ranked import in_slices
+
+ROOT = Path(__file__).resolve().parents[1]
 
 
 def test_prefix_sum_equals_running_total(spark):
@@ -56,9 +63,9 @@ def test_approximate_quantiles_are_close(spark):
     assert abs(got - 5000) <= 2
 
 
-@pytest.mark.parametrize("cell", [1, 13, 100, 10_000, None])
+@pytest.mark.parametrize("slices", [1, 3, 40, None])
 @pytest.mark.parametrize("strict", [True, False])
-def test_running_equals_brute_force_for_any_cell(spark, cell, strict):
+def test_running_equals_brute_force_for_any_slices(spark, slices, strict):
     rng = random.Random(3)
     rows = [
         (i, 0 if rng.random() < 0.34 else rng.randrange(1, 40), rng.randrange(-300, 300),
@@ -66,7 +73,7 @@ def test_running_equals_brute_force_for_any_cell(spark, cell, strict):
         for i in range(900)
     ]
     df = spark.createDataFrame(rows, "id bigint, k bigint, at bigint, v bigint")
-    got = running(df, "k", "at", F.col("v"), F.sum, lambda a, b: a + b, "s", cell, strict)
+    got = running(df, "k", "at", F.col("v"), F.sum, lambda a, b: a + b, "s", strict, slices)
 
     def brute(k, at):
         seen = [r[3] for r in rows if r[1] == k and (r[2] < at if strict else r[2] <= at)]
@@ -87,27 +94,54 @@ def test_first_per_group_with_one_big_group(spark, n):
     assert {tuple(r) for r in got} == want
 
 
-def test_cells_are_measured_from_the_biggest_key(spark):
-    rows = [(0, t) for t in range(0, 1000, 10)] + [(k, 5) for k in range(1, 50)] + [(None, 1)] * 500
-    df = spark.createDataFrame(rows, "k bigint, at bigint")
-    assert cell_width(df, "k", "at", rows=100) is None
-    assert cell_width(df, "k", "at", rows=20) == 990 * 20 // 100
-    assert cell_width(df, "k", "at", rows=1) == 9
-    assert cell_width(df, "k", "at", rows=50) == 991  # twice the rows are still tolerated
-    assert cell_width(df.limit(0), "k", "at") is None
+def _rows_per_task(df):
+    counts = df.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    return sorted(r["count"] for r in counts)
 
 
-def test_a_burst_gets_narrower_cells(spark):
-    rows = [(0, t) for t in range(1000)] + [(0, 10**9)]
-    df = spark.createDataFrame(rows, "k bigint, at bigint")
-    width = cell_width(df, "k", "at", rows=50)
-    fullest = max(sum(t // width == c for _, t in rows) for c in {t // width for _, t in rows})
-    assert fullest <= 100
+def test_the_largest_slice_does_not_depend_on_the_hottest_key(spark):
+    even = spark.range(6000).select((F.col("id") % 60).alias("k"), F.col("id").alias("at"))
+    burst = F.when(F.col("id") % 4 == 0, F.col("id") / 4).otherwise(F.col("id") * 10**6).cast("bigint")
+    hot = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 0, F.col("id") % 59 + 1).otherwise(0).alias("k"), burst.alias("at")
+    )
+    for df in (even, hot):
+        sliced, n = in_slices(df, [F.col("k"), F.col("at")], 12)
+        tasks = _rows_per_task(sliced.repartitionById(n, "_slice"))
+        assert len(tasks) == 12 and tasks[-1] <= 2 * 6000 / 12
 
 
-def test_copies_of_one_time_do_not_narrow_the_cells_for_ever(spark):
+def test_equal_times_count_once_per_row(spark):
     df = spark.createDataFrame([(0, 500)] * 300 + [(0, t) for t in range(1000)], "k bigint, at bigint")
-    assert cell_width(df, "k", "at", rows=100) >= 50
-    got = running(df, "k", "at", F.lit(1), F.sum, lambda a, b: a + b, "n", 100, False)
+    got = running(df, "k", "at", F.lit(1), F.sum, lambda a, b: a + b, "n", False, 7)
     counts = {(r.at, r.n) for r in got.collect()}
     assert got.count() == 1300 and (499, 500) in counts and (500, 801) in counts
+
+
+def test_slices_have_a_task_each_and_are_not_hashed(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(5000).select(F.xxhash64("id").alias("x"), F.lit(1).alias("v"))
+        summed = prefix_sum(df, [F.col("x")], F.col("v"), "upto")
+        plan = summed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    above = plan.split("BroadcastExchange")[0]
+    assert "hashpartitioning(_slice" not in above and above.count("Exchange") == 1
+
+
+def test_folders_go_with_the_session(tmp_path):
+    code = f"""
+import sys; sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import functions as F
+from ebbtide.operators import drivers
+from ebbtide.session import build_session
+from ebbtide.suite.queries import QUERIES
+spark = build_session("gone", "local[2]", **{{"spark.checkpoint.dir": {str(tmp_path)!r},
+    "spark.sql.shuffle.partitions": "2"}})
+QUERIES["rfm_segment"](spark, {str(TESTDATA / 'sf0.001')!r}).count()
+QUERIES["stream_sessions"](spark, {str(TESTDATA / 'sf0.001')!r}).count()
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300, capture_output=True)
+    assert [p for p in tmp_path.rglob("*") if p.is_file()] == []

@@ -15,14 +15,14 @@ BATCH = [n for n in QUERIES if not n.startswith("stream")]
 ONE_TASK = {
     "load", "integrity_report", "gap_quantiles", "gap_quantiles_approx", "growth_accounting",
     "survival_curve", "lift_table", "auc", "auc_model", "budget_list", "experiment_readout",
-    "event_retention",
+    "event_retention", "feature_correlation", "fit_churn_model",
 }
 # query: (scans, shuffles on keys)
 SHAPE = {
     "order_days": (1, 1), "churn_label": (1, 1), "recency_state": (1, 1), "period_spine": (1, 1),
     "spend_trend": (1, 1), "purchase_gaps": (1, 2), "period_status": (1, 2), "spells": (1, 2),
     "last_orders": (1, 2), "return_share": (2, 3), "holdout": (1, 0), "sessions": (1, 2),
-    "quiet_periods": (1, 2), "funnel": (1, 1), "rolling_errors": (1, 1), "last_before": (1, 1),
+    "quiet_periods": (1, 2), "integrity_report": (6, 2),
 }
 
 
@@ -58,3 +58,20 @@ def test_aggregates_combine_before_the_first_shuffle(plans):
 
 def test_targets_are_cut_before_the_shuffle(plans):
     assert plans["top_targets"].count("WindowGroupLimit") == 4
+
+
+def test_integrity_needs_no_join_of_keys(plans):
+    assert "SortMergeJoin" not in plans["integrity_report"]
+
+
+@pytest.mark.parametrize("name", ["assign_action", "rfm_segment"])
+def test_small_rules_are_broadcast_by_their_known_size(spark, name):
+    """With the settings as they come, without help from adaptive execution."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        p = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "BroadcastHashJoin [strip" in p or "BroadcastHashJoin [r" in p
+    # Of the cells only the rules, while they are put together, shuffle.
+    assert "hashpartitioning(strip" not in p and p.count("hashpartitioning(r#") <= 1
