@@ -10,16 +10,18 @@ cosine.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import Recent, map_rows
+from ebbtide.llm.common import map_rows
 
 DIMENSIONS, SEED = 1024, 8
-TRIPLES, WORDS = 40_000, 200_000  # kept per Python worker
+TRIPLES, WORDS = 40_000, 400_000  # kept per Python worker
+CHARACTERS = 2_000_000  # of texts whose words are counted together
 MOST_LANGUAGES = 10_000
 SHARPNESS = 20.0
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -31,14 +33,15 @@ def letter_vector(letter: str) -> np.ndarray:
 
 
 class Bundler:
-    """Text vectors; keeps the triples of recent words and the vectors of recent triples."""
+    """Text vectors; keeps the triples of words met and the vectors of triples, both bounded."""
 
     def __init__(self):
         self._reset()
 
     def _reset(self) -> None:
-        self.words: Recent = Recent(WORDS)
-        self.place: dict[str, int] = {}
+        self.number: dict[str, int] = {}  # of a word
+        self.begin, self.triples = array("q", [0]), array("q")  # where a word's triples are
+        self.place: dict[str, int] = {}  # of a triple
         self.vectors = np.empty((TRIPLES, DIMENSIONS), np.int8)
         self.letters: dict[str, np.ndarray] = {}
 
@@ -58,36 +61,47 @@ class Bundler:
             self.place[triple] = at
         return at
 
-    def _word(self, word: str) -> list[int]:
-        found = self.words.find(word)
-        if found is None:
+    def _learn(self, words: set[str]) -> None:
+        for word in words:
             framed = f" {word} "
-            found = [self._triple(framed[i : i + 3]) for i in range(len(framed) - 2)]
-            self.words.put(word, found)
-        return found
+            self.triples.extend([self._triple(framed[i : i + 3]) for i in range(len(framed) - 2)])
+            self.number[word] = len(self.begin) - 1
+            self.begin.append(len(self.triples))
 
     def vectors_of(self, texts: list[str | None]) -> np.ndarray:
         """One row per text; all zero for texts without a letter."""
-        if len(self.place) > 2 * TRIPLES:  # scripts with very many letters
+        out, start, size = [], 0, 0
+        for i, text in enumerate(texts):
+            size += len(text or "")
+            if size > CHARACTERS or i == len(texts) - 1:
+                out.append(self._vectors(texts[start : i + 1]))
+                start, size = i + 1, 0
+        return np.concatenate(out) if out else np.zeros((0, DIMENSIONS), np.float32)
+
+    def _vectors(self, texts: list[str | None]) -> np.ndarray:
+        if len(self.place) > 2 * TRIPLES or len(self.number) > WORDS:
             self._reset()
-        places, weights, rows = [], [], []
-        for row, text in enumerate(texts):
-            counts: Counter = Counter()
-            for word, n in Counter(LETTERS.findall((text or "").lower())).items():
-                for at in self._word(word):
-                    counts[at] += n
-            places.extend(counts.keys())
-            weights.extend(counts.values())
-            rows.extend([row] * len(counts))
+        split = [LETTERS.findall((t or "").lower()) for t in texts]
+        words = list(chain.from_iterable(split))
+        self._learn(set(words).difference(self.number))
+        ids = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        rows = np.repeat(np.arange(len(texts)), [len(w) for w in split])
+        # Different words of each text and how often, then the triples of those.
+        pairs, times = np.unique(rows * len(self.number) + ids, return_counts=True)
+        rows, ids = np.divmod(pairs, max(1, len(self.number)))
+        begin = np.frombuffer(self.begin, np.int64)
+        many = begin[ids + 1] - begin[ids]
+        first = np.repeat(begin[ids] - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
+        triples = np.array(self.triples, np.int64)[first + np.arange(len(first))]
+        rows, times = np.repeat(rows, many), np.repeat(times, many).astype(float)
+        used = np.flatnonzero(np.bincount(triples, minlength=len(self.place)))
+        column = np.zeros(max(1, len(self.place)), np.int64)
+        column[used] = np.arange(len(used))
+        bag = np.bincount(rows * len(used) + column[triples], times, len(texts) * len(used))
+        bag = bag.reshape(len(texts), -1).astype(np.float32)
         out = np.zeros((len(texts), DIMENSIONS), np.float32)
-        used, inside = np.unique(np.array(places, np.int64), return_inverse=True)
-        bag = np.zeros((len(texts), 4096), np.float32)
-        for start in range(0, len(used), 4096):
-            now = (inside >= start) & (inside < start + 4096)
-            bag[:] = 0
-            bag[np.array(rows, np.int64)[now], inside[now] - start] = np.array(weights, np.float32)[now]
-            part = self.vectors[used[start : start + 4096]].astype(np.float32)
-            out += bag[:, : len(part)] @ part
+        for at in range(0, len(used), 4096):
+            out += bag[:, at : at + 4096] @ self.vectors[used[at : at + 4096]].astype(np.float32)
         return out
 
 
