@@ -91,3 +91,16 @@ def test_value_is_zero_without_orders(spark, facts):
     assert as_set(got) == {(1, 0.5, 10.0, 5.0), (2, 0.5, 0.0, 0.0)}
     dims = spark.createDataFrame([(1, "a"), (2, "a")], "k bigint, g string")
     assert as_set(scoring.value_at_risk(got, dims, ["g"])) == {("a", 2, 10.0, 5.0)}
+
+
+@pytest.mark.parametrize("categories", [("nation",), ()])
+def test_a_saved_model_scores_with_its_own_categories(spark, inputs, tmp_path, categories):
+    features = inputs.features(TRAIN_CUTOFF).join(inputs.dims().select("k", "nation"), "k")
+    label = inputs.label(TRAIN_CUTOFF)
+    numeric = ["days_since", "balance"]
+    model = scoring.fit_churn_model(features, label, numeric, categories)
+    folder = str(tmp_path / "model")
+    scoring.save_model(model, folder)
+    fresh, loaded = scoring.score(model, features), scoring.score(scoring.load_model(folder), features)
+    assert as_set(fresh.limit(50)) <= as_set(loaded)
+    assert fresh.filter("risk < 0 or risk > 1").count() == 0
