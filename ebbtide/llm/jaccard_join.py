@@ -35,7 +35,7 @@ WORDS = 400_000  # word hashes kept per Python worker
 SEGMENT = 150  # shingles of a segment: between this and twice as many
 SKETCH = 128  # bits
 TILE_CLASSES = 2_048  # of a list
-TILE_SHINGLES = 4_000_000  # of a block
+TILE_SHINGLES, TILE_MEMBERS = 4_000_000, 512  # of a block
 SAMPLED, HEAVY = 20_000, 500  # classes sampled for long lists; one in HEAVY makes a list long
 SEND_AT_MOST = 1_000_000  # ids in a broadcast; more are joined by shuffling
 LONG_LISTS = 0.0085  # the share of list work that sets L, as published with DivideSkip
@@ -398,7 +398,8 @@ def jaccard_components(docs: DataFrame, size: int = 3, part: int = 9, whole: int
     maybe = connected_components(_alike_lists(_tiled(_postings(classes), classes), threshold))
     sizes = classes.groupBy("node").agg(F.max("n").alias("n"))
     members = maybe.join(sizes, "node").select("node", F.col("component").alias("block"), "n")
-    tiles = members.groupBy("block").agg(F.ceil(F.sum("n") / TILE_SHINGLES).cast("int").alias("tiles"))
+    by_size, by_count = F.ceil(F.sum("n") / TILE_SHINGLES), F.ceil(F.count("*") / TILE_MEMBERS)
+    tiles = members.groupBy("block").agg(F.greatest(by_size, by_count).cast("int").alias("tiles"))
     placed = durable(members.join(tiles, "block").select("node", "block", "tiles"))
     links = _block_links(_dealt(_with_sets(docs, placed, size)), threshold)
     joined = durable(connected_components(links))

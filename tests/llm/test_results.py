@@ -150,6 +150,7 @@ def near_copies():
 def test_jaccard_groups_equal_brute_force(spark, monkeypatch, tile):
     if tile:  # every list and block is cut into tiles
         monkeypatch.setattr(jaccard_join, "TILE_SHINGLES", 5_000)
+        monkeypatch.setattr(jaccard_join, "TILE_MEMBERS", 7)
         monkeypatch.setattr(jaccard_join, "TILE_CLASSES", 8)
     rows = near_copies()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
