@@ -135,11 +135,10 @@ class Scorer:
             self.known.put(w, x)
         out = np.zeros((len(texts), SUMMARY))
         for i, words in enumerate(split):
-            values = sorted({(found[w], w) for w in set(words)}, reverse=True)[:8]
-            strong = [x for x, w in values if x > -1 for _ in range(min(2, words.count(w)))]
-            top = [*strong, -1.0, -1.0]
-            beyond = sum(found[w] > 0 for w in words)
-            out[i] = top[0], top[1], np.log1p(beyond), np.log1p(len(words)) / 10
+            far = np.full(len(words) + 2, -1.0)
+            far[2:] = np.fromiter(map(found.__getitem__, words), float, len(words))
+            second, first = np.sort(np.partition(far, -2)[-2:])
+            out[i] = first, second, np.log1p((far > 0).sum()), np.log1p(len(words)) / 10
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
