@@ -23,7 +23,7 @@ from ebbtide.llm.common import Recent, map_rows
 
 WINDOW = 8  # bytes the rolling hash looks back
 PASSAGE_BITS, LONG_RUN = 8, 1024
-KEPT_PASSAGES, KEPT_WORDS = 10_000, 300_000
+KEPT_PASSAGES, KEPT_WORDS = 4_000, 100_000
 MARK = re.compile(rb"(?<=[a-z])(?=[.,;:!?])")
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 SPACE = np.zeros(256, bool)

@@ -22,7 +22,7 @@ from ebbtide.llm.common import map_rows, unused
 
 WINDOW = 13
 BLOCK_WORDS = 2_000_000  # benchmark words searched for in one pass; bounds what is sent out
-SHARD_ROWS = 2_048
+SHARD_ROWS = 512
 MATCH = ("item_id", "start", "item_start", "length")
 FOUND = (
     "doc_id bigint, n_words bigint, hits array<struct<start: bigint, stop: bigint>>, "

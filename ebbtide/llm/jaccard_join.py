@@ -31,7 +31,7 @@ from ebbtide.llm.common import map_rows, unused
 from ebbtide.llm.components import connected_components
 from ebbtide.plans import durable
 
-WORDS = 400_000  # word hashes kept per Python worker
+WORDS = 100_000  # word hashes kept per Python worker
 SEGMENT = 150  # shingles of a segment: between this and twice as many
 SKETCH = 128  # bits
 TILE_CLASSES = 2_048  # of a list
@@ -140,6 +140,7 @@ def _summaries(docs: DataFrame, size: int, threshold: Threshold) -> DataFrame:
                 keys.append(np.concatenate(own_keys).tobytes() if own_keys else b"")
                 facts.append(np.array(own_facts, np.int64).tobytes())
             yield ids, n, f1, f2, keys, facts
+        _HASH.clear()  # the worker may go on with other work
 
     schema = "doc_id bigint, n bigint, f1 bigint, f2 bigint, keys binary, facts binary"
     return map_rows(docs, ["doc_id", "text"], run, schema)
@@ -370,6 +371,7 @@ def _with_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
     def run(rows):
         for *kept, texts in rows:
             yield (*kept, [shingle_set(t, size).tobytes() for t in texts])
+        _HASH.clear()
 
     kinds = dict(members.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in ["node", *extra]) + ", shingles binary"
