@@ -1,16 +1,18 @@
 """Secret scans whose false positives a random forest removes, in DataFrame functions only.
 
-A scan takes every run of key-like characters in a text, with the words around it. Letter
-statistics over all documents tell how far a run looks like the corpus's own words. Runs whose
-nature is plain (a provider's key format, a credential's name right before a mixed value; a
-plain long word, a path, a bare number) are labelled findings and train the forest, which
-sees only lengths, character transitions, dictionary coverage, path marks and neighbouring
-words, and judges all runs.
+A scan takes every run of key-like characters in a text, and every value assigned to a
+credential's name, with the words around it. Letter statistics over all documents tell how far
+a value looks like the corpus's own words. Values whose nature is plain (a provider's key
+format, a credential's name right before a mixed or unlikely value; plain words, a path, a bare
+number, a placeholder) are labelled findings and train the forest, which sees only lengths,
+character transitions, coverage by usual letter triples, path marks and neighbouring words, and
+judges all values.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
@@ -26,6 +28,22 @@ BLANKS = r"[\x20\x09-\x0D]+"
 LEAST = 12  # characters of a token that is looked into
 RUN = r"(?:^|[^A-Za-z0-9+/_\-])((?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{12,}={0,2}|[A-Za-z]{20,})"
 NAMED = r"(?i)(pass(word|wd)?|pwd|secret|token|api[_\-]?key|access[_\-]?key|auth|credential|bearer|private[_\-]?key)"
+# What comes before the value in an assignment to a credential's name, and the whole of it. There
+# is no look-around at either end, and no loop that could backtrack over a long text.
+HEAD = (
+    "(?i:" + NAMED[4:].replace("(", "(?:") + r"(?:key|value|hash|phrase|code|id|s)?"
+    r"(?:[_\-][A-Za-z0-9_\-]{0,40})?[0-9]{0,4}(?:\\?[\"'`])?\]?[\x20\t]{0,8}[=:]{1,3}+>?+[\x20\t]{0,8}+)"
+)
+QUOTED = "|".join(rf"{q}[^{q}\\\r\n]*+(?:\\.[^{q}\\\r\n]*+)*+{q}" for q in "\"'`")
+ASSIGNED = rf"({HEAD})({QUOTED}|[^\x20\x09-\x0D]++)"
+LEAST_ASSIGNED = 4  # characters of a value assigned to a credential's name
+MARK, UNMARKED = "\ufdd0", "\ufdd1"  # no characters; one that a text has of its own is no mark
+# Values that stand for one to be filled in or read from elsewhere.
+PLACEHOLDER = (
+    r"^(\$\{.*\}|\$[A-Za-z_][A-Za-z_0-9]*|\$\(.*|<.*>|\{.*\}|\[.*\]|%[A-Za-z_]+%|[*.xX?_\-]+"
+    r"|(?i:none|null|nil|true|false|undefined)|[A-Za-z_]+(\.[A-Za-z_]+)*[(\[].*)$"
+)
+PHRASE = r"^\p{L}++(?:[\x20\t',.!?\-]++\p{L}++)*+[.!?]*+$"
 # Formats that providers of keys publish.
 PROVIDERS = (
     r"^((AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abp]-[A-Za-z0-9\-]{20,}"
@@ -50,9 +68,58 @@ def _letter(char: Column) -> Column:
     return F.when((code >= 1) & (code <= 26), code).otherwise(0)
 
 
+def _assignments(text: Column, ws: Column) -> Column:
+    """place, value, before, near, after of each value assigned to a credential's name: to the
+    closing quote on its line, or to the next white space without the marks that end a sentence
+    or a bracket there."""
+
+    def taken(rest: Column) -> Column:
+        """The value without its quotes, and the quote it began with."""
+        bare = F.regexp_replace(rest, F.lit(r"^[\"'`]+|[\"'`,;.)\]}]+$"), F.lit(""))
+        inner = F.substring(rest, F.lit(2), F.char_length(rest) - 2)
+        return F.struct(
+            F.when(rest.rlike(f"^(?:{QUOTED})$"), inner).otherwise(bare).alias("value"),
+            F.regexp_extract(rest, "^[\"'`]*", 0).alias("quote"),
+        )
+
+    def starts(marked: Column) -> Column:
+        """The marked words' places, once a mark, and what stands before each mark in its word."""
+        places = F.filter(
+            F.sequence(F.lit(0), F.size(marked) - 1), lambda i: F.contains(F.get(marked, i), F.lit(MARK))
+        )
+
+        def of_word(i: Column, parts: Column) -> Column:
+            return F.transform(
+                F.sequence(F.lit(1), F.size(parts) - 1),
+                lambda k: F.struct(i.alias("place"), F.array_join(F.slice(parts, 1, k), "").alias("before")),
+            )
+
+        return F.flatten(
+            F.transform(places, lambda i: _let(F.split(F.get(marked, i), MARK), lambda parts: of_word(i, parts)))
+        )
+
+    def described(pair: Column) -> Column:
+        i, v = pair["at"]["place"], pair["own"]["value"]
+        return F.struct(
+            i.alias("place"),
+            v.alias("value"),
+            F.concat(pair["at"]["before"], pair["own"]["quote"]).alias("before"),
+            F.concat_ws(" ", F.get(ws, i - 2), F.get(ws, i - 1)).alias("near"),
+            F.coalesce(F.get(ws, i + F.size(F.split(v, BLANKS))), F.lit("")).alias("after"),
+            F.lit(True).alias("whole"),
+        )
+
+    own = F.transform(F.regexp_extract_all(text, F.lit(ASSIGNED), F.lit(2)), taken)
+    with_marks = F.regexp_replace(F.translate(text, MARK, UNMARKED), F.lit(ASSIGNED), F.lit(f"$1{MARK}$2"))
+    marked = F.filter(F.split(with_marks, BLANKS), lambda w: w != "")
+    pairs = F.arrays_zip(own.alias("own"), _let(marked, starts).alias("at"))
+    return F.filter(F.transform(pairs, described), lambda f: F.char_length(f["value"]) >= LEAST_ASSIGNED)
+
+
 def findings(docs: DataFrame) -> DataFrame:
-    """doc_id, source, place, value, before, near, after: each run, the number of the token it
-    stands in, the rest of the token before it, the two words before and the one after.
+    """doc_id, source, place, value, before, near, after, whole: each run and each value assigned
+    to a credential's name (whole), the number of the token it begins in, the rest of the token
+    before it, the two words before and the one after. A run that is such a value comes once.
 
     Null and empty texts have none; repeated rows give theirs each time.
     """
@@ -74,11 +141,22 @@ def findings(docs: DataFrame) -> DataFrame:
                 F.call_function("substring_index", word, v, F.lit(1)).alias("before"),
                 F.concat_ws(" ", F.get(ws, i - 2), F.get(ws, i - 1)).alias("near"),
                 F.coalesce(F.get(ws, i + 1), F.lit("")).alias("after"),
+                F.lit(False).alias("whole"),
             ),
         )
 
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), BLANKS), lambda w: w != "")
-    found = _let(words, lambda ws: F.when(F.size(ws) > 0, runs(ws)))
+    def both(ws: Column) -> Column:
+        def with_runs(own: Column) -> Column:
+            def new(r: Column) -> Column:
+                return ~F.exists(own, lambda o: (o["place"] == r["place"]) & (o["value"] == r["value"]))
+
+            return F.concat(own, F.filter(runs(ws), new))
+
+        return F.when(text.rlike(ASSIGNED), _let(_assignments(text, ws), with_runs)).otherwise(runs(ws))
+
+    text = F.coalesce("text", F.lit(""))
+    words = F.filter(F.split(text, BLANKS), lambda w: w != "")
+    found = _let(words, lambda ws: F.when(F.size(ws) > 0, both(ws)))
     return docs.select("doc_id", "source", F.explode(found).alias("f")).select("doc_id", "source", "f.*")
 
 
@@ -151,7 +229,7 @@ def with_features(found: DataFrame, unlikely: list[float], usual: list[int]) ->
         "hexadecimal": value.rlike("^[0-9a-fA-F]+$"),
         "named_before": F.col("before").rlike(NAMED),
         "named_near": F.col("near").rlike(NAMED),
-        "assigned": F.col("before").rlike("[=:]") | F.col("near").rlike("[=:]$"),
+        "assigned": F.col("before").rlike("[=:]") | F.col("near").rlike("[=:]>?$"),
         "quoted": F.col("before").rlike("[\"'`]$"),
         "plain_neighbours": F.col("near").rlike(r"^[\p{L}.,]+ [\p{L}.,]+$") & F.col("after").rlike(r"^[\p{L}.,]+$"),
         "sample_source": F.coalesce("source", F.lit("")).rlike("(?i)test|example|sample|fixture|docs?"),
@@ -174,13 +252,19 @@ def with_features(found: DataFrame, unlikely: list[float], usual: list[int]) ->
 
 def labelled(featured: DataFrame) -> DataFrame:
     """`featured` with label 1 or 0 where a finding's nature is plain, else null."""
-    mixed = (F.col("digits") >= 0.1) & (F.col("digits") < 1) & (F.col("slashes") == 0)
+    value, length, coverage = F.col("value"), F.col("length"), F.col("coverage")
+    mixed = (F.col("digits") > 0) & (F.col("digits") < 1) & (F.col("slashes") == 0)
     named = (F.col("named_before") + F.col("named_near") > 0) & (F.col("assigned") == 1)
-    secret = F.col("value").rlike(PROVIDERS) | (named & mixed & (F.col("length") >= 16))
-    plain = (F.col("digits") == 0) & (F.col("coverage") >= 0.5) & ~named
+    stands_in = F.col("whole") & (
+        value.rlike(PLACEHOLDER) | (value.rlike(PHRASE) & (coverage >= F.when(value.rlike(BLANKS), 0.3).otherwise(0.5)))
+    )
+    unlike_words = (F.col("digits") == 0) & (F.col("slashes") == 0) & (coverage < 0.5)
+    assigned = F.col("whole") & (length >= 8) & ~value.rlike(BLANKS) & (mixed | unlike_words)
+    secret = value.rlike(PROVIDERS) | (named & mixed & (F.col("digits") >= 0.1) & (length >= 16)) | assigned
+    plain = (F.col("digits") == 0) & (coverage >= 0.5) & ~named
     bare_number = (F.col("digits") == 1) & ~named
-    path = (F.col("slashes") > 0) & (F.col("coverage") >= 0.3) & ~named
-    label = F.when(secret, 1.0).when(plain | bare_number | path, 0.0)
+    path = (F.col("slashes") > 0) & (coverage >= 0.3) & ~named
+    label = F.when(stands_in, 0.0).when(secret, 1.0).when(plain | bare_number | path, 0.0)
     return featured.withColumn("label", label)
 
 
@@ -229,14 +313,23 @@ def scan_secrets(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def redacted(docs: DataFrame, scanned: DataFrame, mask: str = MASK) -> DataFrame:
-    """`docs`, all columns, with the secrets that `scan_secrets` found masked in `text`."""
+    """`docs`, all columns, with the secrets that `scan_secrets` found masked in `text`, those of
+    less than LEAST characters only where no letter or digit adjoins."""
     doc, bad = unused(docs, "_doc"), unused(docs, "_bad")
     own = (
         scanned.filter("predicted = 1")
         .groupBy(F.col("doc_id").alias(doc))
         .agg(F.sort_array(F.collect_set(F.struct(F.length("value").alias("n"), "value")), asc=False).alias(bad))
     )
-    masked = F.aggregate(bad, F.col("text"), lambda t, b: F.replace(t, b["value"], F.lit(mask)))
+
+    def hide(t: Column, value: Column) -> Column:
+        alone = F.concat(
+            F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])")
+        )
+        short = F.regexp_replace(t, alone, F.lit(re.sub(r"([\\$])", r"\\\1", mask)))
+        return F.when(F.char_length(value) < LEAST, short).otherwise(F.replace(t, value, F.lit(mask)))
+
+    masked = F.aggregate(bad, F.col("text"), lambda t, b: hide(t, b["value"]))
     joined = docs.join(own, F.col("doc_id").eqNullSafe(F.col(doc)), "left")
     text = F.when(F.col(bad).isNull(), F.col("text")).otherwise(masked)
     return joined.withColumn("text", text).drop(doc, bad)

@@ -3,12 +3,14 @@ without an id."""
 
 from __future__ import annotations
 
+import random
 import shutil
 
 from compare import differences
 from conftest import TESTDATA
+from pyspark.sql import functions as F
 
-from ebbtide.llm import queries
+from ebbtide.llm import queries, secret_forest
 
 SMALL = TESTDATA / "sf0.001"
 
@@ -28,3 +30,62 @@ def test_line_rules_mark_lines_and_reject_documents_like_sql(spark, tmp_path):
     assert all(found[i]["common_words"] == (90 if i < 101 else 0) for i in found)
     assert {i for i, r in found.items() if not r["kept"]} == set(range(1, 101, 2))
     assert differences(spark, str(tmp_path), op9, queries.ORACLE["op9_line_rules"]) is None
+
+
+PLAIN = "It says here that nothing of note was found by anyone who looked at the thing."
+ASSIGNED = {
+    'password="Summer2024!"': "Summer2024!",
+    "password=hunter2pw9,": "hunter2pw9",
+    "secret=qwertyuiopasdf": "qwertyuiopasdf",
+    "token=Xk9!pQ2@vL7#mN4$": "Xk9!pQ2@vL7#mN4$",
+    "pwd:Tr0ub4dor&3xyz": "Tr0ub4dor&3xyz",
+    "db_password = 'c0rrect h0rse b4ttery'": "c0rrect h0rse b4ttery",
+    '{"user":"me","apiKey":"zq9-Vw!7","token":"p@ss/w0rd"}': "zq9-Vw!7",
+    'Secret => "Ab\\"9xK(2]f"': 'Ab\\"9xK(2]f',
+}
+STAND_INS = ["password=${DB_PASSWORD}", "secret: nothing", 'token = "found"', "password=None", "author: Looked1234"]
+
+
+def secret_docs(spark):
+    random.seed(5)
+    rows = []
+    for i in range(60):
+        hexes = "".join(random.choice("0123456789abcdef") for _ in range(40))
+        rows.append((i, f'{PLAIN} token = "{hexes}" {PLAIN}', "a"))
+    for i in range(60, 160):
+        long = "".join(random.choice(["there", "found", "that", "thing", "look"]) for _ in range(5))
+        rows.append((i, f"{PLAIN} {long} {PLAIN} {random.randrange(10**15, 10**16)}", "a"))
+    rows += [(200 + i, f"{PLAIN} {text} {PLAIN}", "a") for i, text in enumerate(ASSIGNED)]
+    rows += [(300 + i, f"{PLAIN} {text} {PLAIN}", "a") for i, text in enumerate(STAND_INS)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+
+
+def test_values_assigned_to_credential_names_are_found_and_masked(spark):
+    docs = secret_docs(spark)
+    scanned = secret_forest.scan_secrets(docs).cache()
+    found = {(r["doc_id"], r["value"], r["place"]) for r in scanned.filter("predicted = 1").collect()}
+    for i, (text, value) in enumerate(ASSIGNED.items()):
+        place = len(f"{PLAIN} {text[: text.index(value)]}x".split()) - 1
+        assert (200 + i, value, place) in found, text
+    assert (206, "p@ss/w0rd", 16) in {r[:] for r in scanned.select("doc_id", "value", "place").collect()}
+    assert not {r for r in found if r[0] >= 300 or 60 <= r[0] < 160}
+    assert scanned.filter("doc_id < 60").count() == 60  # a run that is an assigned value comes once
+    masked = {r["doc_id"]: r["text"] for r in secret_forest.redacted(docs, scanned).collect()}
+    for i, (text, value) in enumerate(ASSIGNED.items()):
+        assert value not in masked[200 + i] and "[SECRET]" in masked[200 + i]
+    assert masked[201] == f"{PLAIN} password=[SECRET], {PLAIN}"
+
+
+def test_short_secrets_are_masked_where_they_stand_alone(spark):
+    docs = spark.createDataFrame([(1, "pwd=a$1\\Eb9 but not xa$1\\Eb9 nor a$1\\Eb97", "a")], "doc_id int, text string, source string")
+    scanned = secret_forest.scan_secrets(docs).withColumn("predicted", F.lit(1))
+    assert secret_forest.redacted(docs, scanned).first()["text"] == "pwd=[SECRET] but not xa$1\\Eb9 nor a$1\\Eb97"
+
+
+def test_long_values_are_taken_to_their_closing_quote(spark):
+    prose = "there that thing " * 5000
+    escaped = 'a\\"7' * 5000
+    rows = [(1, f'secret: "{prose}"', "a"), (2, f'token="{escaped}" and', "a"), (3, f'token="{escaped} and', "a")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    found = {(r["doc_id"], r["value"]) for r in secret_forest.scan_secrets(docs).collect()}
+    assert {(1, prose), (2, escaped)} <= found and any(i == 3 and escaped in v for i, v in found)
