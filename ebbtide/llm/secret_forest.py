@@ -50,6 +50,7 @@ PROVIDERS = (
     r"|AIza[A-Za-z0-9_\-]{35}|sk_live_[A-Za-z0-9]{16,}|glpat-[A-Za-z0-9_\-]{20})$"
 )
 MASK = "[SECRET]"
+WINDOW = 40  # characters over which transitions and coverage are averaged
 LETTERS = 27  # a to z, and everything else as 0
 PER_CLASS = 20_000  # labelled findings of each class a fit uses at most
 TREES, DEPTH, SEED = 20, 6, 10
@@ -204,13 +205,16 @@ def _table(values: list) -> Column:
 
 
 def with_features(found: DataFrame, unlikely: list[float], usual: list[int]) -> DataFrame:
-    """`findings` plus FEATURES, all double."""
+    """`findings` plus FEATURES, all double. Coverage is the share of letter triples usual in the
+    corpus; it and the unlikeliness of transitions are those of the worst window of a value."""
     value, size = F.col("value"), F.char_length("value").cast("double")
 
     def share(pattern: str) -> Column:
         return F.regexp_count("value", F.lit(pattern)) / size
 
-    def mean_over(table: list, width: int) -> Column:
+    def worst_mean(table: list, width: int, worst) -> Column:
+        """Of the means over overlapping windows that cover the whole value, the worst."""
+
         def look(codes: Column) -> Column:
             def at(i: Column) -> Column:
                 place = F.get(codes, i)
@@ -218,11 +222,16 @@ def with_features(found: DataFrame, unlikely: list[float], usual: list[int]) ->
                     place = place * LETTERS + F.get(codes, i + k)
                 return F.get(_table(table), place)
 
-            places = F.sequence(F.lit(0), F.size(codes) - width)
-            total = F.aggregate(places, F.lit(0.0), lambda s, i: s + at(i))
-            return total / (F.size(codes) - (width - 1))
+            def mean(start: Column) -> Column:
+                places = F.sequence(start, F.least(start + WINDOW, F.size(codes)) - width)
+                total = F.aggregate(places, F.lit(0.0), lambda s, i: s + at(i))
+                return total / F.size(places)
+
+            last = F.greatest(F.size(codes) - WINDOW, F.lit(0))
+            starts = F.concat(F.sequence(F.lit(0), last, F.lit(WINDOW // 2)), F.array(last))
+            return worst(F.transform(F.array_distinct(starts), mean))
 
-        return _let(F.transform(F.split(F.substring("value", 1, 200), ""), _letter), look)
+        return _let(F.transform(F.split("value", ""), _letter), look)
 
     switches = "(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"
     flags = {
@@ -244,7 +253,11 @@ def with_features(found: DataFrame, unlikely: list[float], usual: list[int]) ->
         "joints": share(r"[_\-+=]"),
     }
     return found.withColumns(
-        {"length": F.least(size, F.lit(200.0)), "unlikely": mean_over(unlikely, 2), "coverage": mean_over(usual, 3)}
+        {
+            "length": F.least(size, F.lit(200.0)),
+            "unlikely": worst_mean(unlikely, 2, F.array_max),
+            "coverage": worst_mean(usual, 3, F.array_min),
+        }
         | shares
         | {k: F.coalesce(v, F.lit(False)).cast("double") for k, v in flags.items()}
     )

@@ -89,3 +89,21 @@ def test_long_values_are_taken_to_their_closing_quote(spark):
     docs = spark.createDataFrame(rows, "doc_id int, text string, source string")
     found = {(r["doc_id"], r["value"]) for r in secret_forest.scan_secrets(docs).collect()}
     assert {(1, prose), (2, escaped)} <= found and any(i == 3 and escaped in v for i, v in found)
+
+
+def test_features_of_long_values_see_all_of_them(spark):
+    random.seed(8)
+    word = ["there", "found", "that", "thing", "look"]
+    path = "/".join(random.choice(word) for _ in range(90))
+    keys = "".join(random.choice("0123456789bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ") for _ in range(260))
+    values = {1: path + "/1", 2: path + "/" + keys, 3: keys + "/" + path, 4: path + "/" + keys + "/" + path, 5: path + "/" + keys[:44]}
+    plain = " ".join(word) + " "
+    rows = [(i, plain * 300 + v, "a") for i, v in values.items()]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    unlikely, usual = secret_forest.letter_statistics(docs)
+    featured = secret_forest.labelled(secret_forest.with_features(secret_forest.findings(docs), unlikely, usual))
+    found = {r["doc_id"]: r for r in featured.collect()}
+    assert {i: r["value"] for i, r in found.items()} == values
+    assert found[1]["label"] == 0 and found[1]["coverage"] > 0.3
+    for i in (2, 3, 4, 5):
+        assert found[i]["coverage"] < 0.1 and found[i]["unlikely"] > found[1]["unlikely"] + 1 and found[i]["label"] is None
