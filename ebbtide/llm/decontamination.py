@@ -192,10 +192,15 @@ def benchmark_matches(
     each; an empty benchmark hits nothing; other columns are not read. A benchmark larger than
     `block_words` is searched for in several passes, whose rows meet per document and text.
     """
+    return _keyed_matches(docs, benchmark, block_words).drop("key")
+
+
+def _keyed_matches(docs: DataFrame, benchmark: DataFrame, block_words: int) -> DataFrame:
+    """`benchmark_matches` plus key, a hash of the row's text."""
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     passes = [_search(keyed, index) for index in benchmark_blocks(benchmark, block_words)]
     if len(passes) == 1:
-        return passes[0].drop("key")
+        return passes[0]
     rows = passes[0].withColumn("pass", F.lit(0))
     for i, more in enumerate(passes[1:], 1):
         rows = rows.unionByName(more.withColumn("pass", F.lit(i)))
@@ -208,6 +213,7 @@ def benchmark_matches(
         .withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
         .select(
             "doc_id",
+            "key",
             F.col("r")[0]["n_words"].alias("n_words"),
             _united(F.flatten("r.hits")).alias("hits"),
             F.array_sort(F.array_distinct(F.flatten("r.items"))).alias("items"),
@@ -216,18 +222,26 @@ def benchmark_matches(
     )
 
 
+def _n_hit() -> Column:
+    return F.aggregate("hits", F.lit(0).cast("bigint"), lambda s, h: s + h["stop"] - h["start"])
+
+
+def _contaminated(one_in: int) -> Column:
+    return (_n_hit() > 0) & (_n_hit() * one_in >= F.col("n_words"))
+
+
 def contamination(found: DataFrame, one_in: int = 20) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, from `benchmark_matches`.
     Contaminated: at least one word in `one_in` is hit."""
-    n_hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda s, h: s + h["stop"] - h["start"])
     names = F.concat_ws(",", F.array_sort(F.transform("items", lambda i: i.cast("string"))))
     return found.select(
         "doc_id",
         "n_words",
-        n_hit.alias("n_hit"),
+        _n_hit().alias("n_hit"),
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(names, 256).alias("items_sha256"),
-    ).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words")))
+        _contaminated(one_in).alias("contaminated"),
+    )
 
 
 def decontaminated(
@@ -237,10 +251,11 @@ def decontaminated(
     blocks = benchmark_blocks(benchmark, block_words)
     index = next(blocks)
     if next(blocks, None) is not None:  # several passes: decide per document and text
-        bad = contamination(benchmark_matches(docs, benchmark, block_words), one_in)
-        doc = unused(docs, "_doc")
-        bad = bad.filter("contaminated").select(F.col("doc_id").alias(doc)).distinct()
-        return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(doc)), "left_anti")
+        doc, key = unused(docs, "_doc"), unused(docs, "_key")
+        found = _keyed_matches(docs, benchmark, block_words)
+        bad = found.filter(_contaminated(one_in)).select(F.col("doc_id").alias(doc), F.col("key").alias(key)).distinct()
+        same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key))
+        return docs.join(bad, same, "left_anti")
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     @F.pandas_udf("boolean")

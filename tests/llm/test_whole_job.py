@@ -10,7 +10,7 @@ from compare import differences
 from conftest import TESTDATA
 from pyspark.sql import functions as F
 
-from ebbtide.llm import queries, secret_forest
+from ebbtide.llm import decontamination, queries, secret_forest
 
 SMALL = TESTDATA / "sf0.001"
 
@@ -107,3 +107,14 @@ def test_features_of_long_values_see_all_of_them(spark):
     assert found[1]["label"] == 0 and found[1]["coverage"] > 0.3
     for i in (2, 3, 4, 5):
         assert found[i]["coverage"] < 0.1 and found[i]["unlikely"] > found[1]["unlikely"] + 1 and found[i]["label"] is None
+
+
+def test_decontamination_keeps_the_same_rows_for_any_block_size(spark):
+    item = " ".join(f"i{k}" for k in range(20))
+    rows = [(None, item, 1), (None, PLAIN, 2), (None, PLAIN, 3), (7, f"{item} x", 4), (7, PLAIN, 5), (8, item, 6), (8, item, 7)]
+    rows += [(None, None, 8), (7, "", 9), (9, "i1 i2", 10)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, row int")
+    items = spark.createDataFrame([(1, item), (2, "other words of a benchmark")], "item_id bigint, text string")
+    for block_words in (2_000_000, 1):
+        kept = decontamination.decontaminated(docs, items, block_words=block_words)
+        assert sorted(r["row"] for r in kept.collect()) == [2, 3, 5, 8, 9, 10], block_words
