@@ -50,6 +50,7 @@ PROVIDERS = (
     r"|AIza[A-Za-z0-9_\-]{35}|sk_live_[A-Za-z0-9]{16,}|glpat-[A-Za-z0-9_\-]{20})$"
 )
 MASK = "[SECRET]"
+SALTS = 16
 WINDOW = 40  # characters over which transitions and coverage are averaged
 LETTERS = 27  # a to z, and everything else as 0
 PER_CLASS = 20_000  # labelled findings of each class a fit uses at most
@@ -118,8 +119,8 @@ def _assignments(text: Column, ws: Column) -> Column:
 
 
 def findings(docs: DataFrame) -> DataFrame:
-    """doc_id, source, place, value, before, near, after, whole: each run and each value assigned
-    to a credential's name (whole), the number of the token it begins in, the rest of the token
+    """doc_id, text_hash, source, place, value, before, near, after, whole: each run and each value
+    assigned to a credential's name (whole), the number of the token it begins in, the rest of the token
     before it, the two words before and the one after. A run that is such a value comes once.
 
     Null and empty texts have none; repeated rows give theirs each time.
@@ -158,7 +159,8 @@ def findings(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     words = F.filter(F.split(text, BLANKS), lambda w: w != "")
     found = _let(words, lambda ws: F.when(F.size(ws) > 0, both(ws)))
-    return docs.select("doc_id", "source", F.explode(found).alias("f")).select("doc_id", "source", "f.*")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "source", F.explode(found).alias("f"))
+    return rows.select("doc_id", "text_hash", "source", "f.*")
 
 
 def letter_statistics(docs: DataFrame) -> tuple[list[float], list[int]]:
@@ -301,8 +303,8 @@ def fit_forest(findings_with_label: DataFrame, per_class: int = PER_CLASS):
 
 
 def scan_secrets(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, place, value, length, score, predicted for every finding of the scan; predicted
-    1 is a secret, 0 a false positive.
+    """doc_id, text_hash, place, value, length, score, predicted for every finding of the scan;
+    predicted 1 is a secret, 0 a false positive; text_hash is xxhash64 of the row's text.
 
     Without findings of both labels there is no forest, and the labels themselves decide.
     Null and empty texts and an empty table have no findings; repeated rows repeat theirs;
@@ -317,6 +319,7 @@ def scan_secrets(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
         scored = model.transform(featured).withColumn("score", vector_to_array("_probability")[1])
     return scored.select(
         "doc_id",
+        "text_hash",
         F.col("place").cast("bigint").alias("place"),
         "value",
         F.char_length("value").cast("bigint").alias("length"),
@@ -327,12 +330,17 @@ def scan_secrets(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def redacted(docs: DataFrame, scanned: DataFrame, mask: str = MASK) -> DataFrame:
     """`docs`, all columns, with the secrets that `scan_secrets` found masked in `text`, those of
-    less than LEAST characters only where no letter or digit adjoins."""
-    doc, bad = unused(docs, "_doc"), unused(docs, "_bad")
+    less than LEAST characters only where no letter or digit adjoins.
+
+    Findings belong to a doc_id and text, so rows without an id, or with one id and different
+    texts, are masked each by its own; rows of one text are spread over SALTS parts of the join.
+    """
+    doc, bad, key, salt = (unused(docs, name) for name in ("_doc", "_bad", "_key", "_salt"))
     own = (
         scanned.filter("predicted = 1")
-        .groupBy(F.col("doc_id").alias(doc))
+        .groupBy(F.col("doc_id").alias(doc), F.col("text_hash").alias(key))
         .agg(F.sort_array(F.collect_set(F.struct(F.length("value").alias("n"), "value")), asc=False).alias(bad))
+        .withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
 
     def hide(t: Column, value: Column) -> Column:
@@ -343,6 +351,10 @@ def redacted(docs: DataFrame, scanned: DataFrame, mask: str = MASK) -> DataFrame
         return F.when(F.char_length(value) < LEAST, short).otherwise(F.replace(t, value, F.lit(mask)))
 
     masked = F.aggregate(bad, F.col("text"), lambda t, b: hide(t, b["value"]))
-    joined = docs.join(own, F.col("doc_id").eqNullSafe(F.col(doc)), "left")
+    row_salt = unused(docs, "_row_salt")
+    salted = docs.withColumn(row_salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    same = (
+        F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key)) & (F.col(row_salt) == F.col(salt))
+    )
     text = F.when(F.col(bad).isNull(), F.col("text")).otherwise(masked)
-    return joined.withColumn("text", text).drop(doc, bad)
+    return salted.join(own, same, "left").withColumn("text", text).drop(doc, bad, key, salt, row_salt)

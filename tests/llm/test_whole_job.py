@@ -118,3 +118,18 @@ def test_decontamination_keeps_the_same_rows_for_any_block_size(spark):
     for block_words in (2_000_000, 1):
         kept = decontamination.decontaminated(docs, items, block_words=block_words)
         assert sorted(r["row"] for r in kept.collect()) == [2, 3, 5, 8, 9, 10], block_words
+
+
+def test_rows_without_an_id_are_masked_by_their_own_findings(spark):
+    one, two = "0bec99813b773c6855", "7f1cc2093d5a8e4410"
+    rows = [(None, f"password={one}", 1), (None, f"password={two} not {one}x", 2), (None, f"see {one} there", 3)]
+    rows += [(5, f"password={one}", 4), (5, f"see {one} there", 5), (5, None, 6)] + [(None, f"password={one}", 7)] * 40
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, row int").withColumn("source", F.lit("a"))
+    scanned = secret_forest.scan_secrets(docs)
+    found = [(r["row"], r["text"]) for r in secret_forest.redacted(docs, scanned).collect()]
+    assert len(found) == len(rows)
+    assert set(found) == {
+        (1, "password=[SECRET]"), (2, f"password=[SECRET] not {one}x"), (3, f"see {one} there"),
+        (4, "password=[SECRET]"), (5, f"see {one} there"), (6, None), (7, "password=[SECRET]"),
+    }
+    assert "text_hash" not in queries.op10_secrets(spark, str(SMALL)).columns
