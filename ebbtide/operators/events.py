@@ -71,7 +71,7 @@ def funnel(events: DataFrame, steps: Sequence[str], within: int = DAY) -> DataFr
     )
     at, kind, start = F.col("at"), F.col("event_type"), F.col("start")
     line = line.distinct().withColumn("start", F.when(kind == steps[0], at))
-    line = line.withColumn("step", F.when(start.isNotNull(), 1).otherwise(0))
+    line = line.withColumn("step", F.when(kind == steps[0], 1).otherwise(0))
     for i, name in enumerate(steps[1:], 2):
         line = running(line, "user_id", "at", start, F.max, _greatest, "chain", strict=True)
         onward = F.when((kind == name) & (at - F.col("chain") <= within), F.col("chain"))
@@ -153,7 +153,7 @@ def rolling_errors(events: DataFrame, days: int = 7, kind: str = "error") -> Dat
     steps = timed.select(
         "event_id",
         "user_id",
-        F.explode(F.when(error, F.array(here, after)).otherwise(F.array(here))).alias("s"),
+        F.explode(F.when(error & F.col("at").isNotNull(), F.array(here, after)).otherwise(F.array(here))).alias("s"),
     ).select("event_id", "user_id", "s.at", "s.step")
     counted = running(
         steps, "user_id", "at", F.col("step"), F.sum, lambda a, b: a + b, "errors", strict=False

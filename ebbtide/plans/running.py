@@ -32,17 +32,19 @@ def running(
 
     Rows at the same time count too unless `strict`. `how` is an aggregate that can be taken of
     its own results (sum, max, min), `merge` joins two results. Rows without a key are left
-    out. Results are found per distinct key and time and joined back to the rows on both; a
+    out. Rows without a time are each other's peers only: they count for no other row, and for
+    each other unless `strict`. Results are found per distinct key and time and joined back to the rows on both; a
     time with very many rows is left to Spark's handling of skewed joins.
     """
     known = df.filter(F.col(key).isNotNull())
     times = known.groupBy(key, at).agg(how(value).alias("_value"))
     sliced, n = in_slices(times, [F.col(key), F.col(at)], slices)
+    dated = F.when(F.col(at).isNotNull(), F.col("_value"))
     ends = sliced.groupBy("_slice").agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
     # At most two rows per slice: the window below sees no more than that of any key.
     edges = (
         sliced.groupBy("_slice", key)
-        .agg(how(F.col("_value")).alias("_sum"))
+        .agg(how(dated).alias("_sum"))
         .join(F.broadcast(ends), "_slice")
         .filter((F.col(key) == F.col("_first")) | (F.col(key) == F.col("_last")))
     )
@@ -58,8 +60,14 @@ def running(
     either = F.when(own.isNull(), carry).when(carry.isNull(), own).otherwise(merge(own, carry))
     results = (
         sliced.repartitionById(n, "_slice")
-        .withColumn("_own", how(F.col("_value")).over(inside))
+        .withColumn("_own", how(dated).over(inside))
         .join(F.broadcast(carried), ["_slice", key], "left")
-        .select(key, at, either.alias(name))
+        .select(
+            F.col(key).alias("_key"),
+            F.col(at).alias("_at"),
+            F.when(F.col(at).isNotNull(), either).when(F.lit(not strict), F.col("_value")).alias(name),
+        )
     )
-    return known.join(results, [key, at])
+    same = (F.col(key) == F.col("_key")) & F.col(at).eqNullSafe(F.col("_at"))
+    others = [c for c in df.columns if c not in (key, at)]
+    return known.join(results, same).select(key, at, *others, name)
