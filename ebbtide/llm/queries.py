@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from ebbtide.llm import (
     bpe_chunks,
     decontamination,
+    fill_in_middle,
     jaccard_join,
     language_profiles,
     line_rules,
+    nearest_hashing,
     quality_kernel,
     secret_forest,
+    source_divergence,
     token_counts,
     toxicity_kernel,
     web_archives,
@@ -85,6 +88,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("value_sha256", F.sha2("value", 256)).drop("value", "text_hash")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_hashing.nearest_rows(table(spark, sf_dir, "embeddings"), step=20)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fill_in_middle_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_web_archives": op2_web_archives,
@@ -96,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_line_rules": op9_line_rules,
     "op10_secrets": op10_secrets,
+    "op11_divergence": op11_divergence,
+    "op12_nearest": op12_nearest,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 # Base 32 of a digest, five bits at a time, two of its hex digits around them.
@@ -164,4 +182,74 @@ ORACLE: dict[str, str] = {
                 AND coalesce((words - removed) * 5 >= words, TRUE) AS kept,
             CAST(coalesce(removed, 0) AS BIGINT) AS common_words
         FROM base LEFT JOIN judged USING (doc_id)""",
+    "op11_divergence": """
+        WITH d AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                coalesce(text, '') AS text
+            FROM documents
+        ), t AS (
+            SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+            FROM d
+        ), k AS (
+            SELECT lang, term, CAST(count(*) AS BIGINT) AS total FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 3
+        ), c AS (
+            SELECT lang, source, term, CAST(count(*) AS BIGINT) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL
+        ), l AS (
+            SELECT lang, CAST(count(*) AS BIGINT) AS v, CAST(sum(total) AS BIGINT) AS n_lang FROM k GROUP BY lang
+        ), g AS (
+            SELECT lang, source, CAST(coalesce(sum(n), 0) AS BIGINT) AS n
+            FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL
+        ), p AS (
+            SELECT lang, source, term, coalesce(c.n, 0) AS own,
+                1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (g.n + v) AS p,
+                1 + (1000000000 * (total + 1)) // (n_lang + v) AS q
+            FROM g JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)
+        ), pair AS (
+            SELECT lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // b.p) AS BIGINT) AS value
+            FROM p AS a JOIN p AS b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL
+            UNION ALL
+            SELECT a.lang, a.source, b.source, 0 FROM g AS a JOIN g AS b USING (lang)
+            WHERE a.source <> b.source AND a.lang NOT IN (SELECT lang FROM l)
+        ), term AS (
+            SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE own > 0 AND p > q
+        ), ranked AS (
+            SELECT lang, source, 'pair' AS part, item, value,
+                row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS r
+            FROM pair
+            UNION ALL
+            SELECT * FROM (
+                SELECT lang, source, 'term', item, value,
+                    row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS r
+                FROM term
+            ) WHERE r <= 200
+        )
+        SELECT lang, source, part, item, value, CAST(r AS INTEGER) AS rank FROM ranked""",
+    "op13_fill_in_middle": """
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+                regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units
+            FROM documents
+        ), k AS (
+            SELECT *, len(units) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1,
+                CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3,
+                CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+            FROM d
+        ), c AS (
+            SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                    OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM k
+        ), p AS (
+            SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle,
+                array_to_string(units[b + 1:], '') AS suffix
+            FROM c
+        )
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+            CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+            CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix
+                || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+            sha256(text) AS restored_sha256
+        FROM p""",
 }
