@@ -6,6 +6,7 @@ from ebbtide.functions.columns import (
     micros,
     quarter_index,
     ratio,
+    unused,
 )
 
-__all__ = ["bucket_percent", "cell_start", "day", "from_micros", "micros", "quarter_index", "ratio"]
+__all__ = ["bucket_percent", "cell_start", "day", "from_micros", "micros", "quarter_index", "ratio", "unused"]

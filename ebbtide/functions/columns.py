@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,11 @@ def bucket_percent(key: Column, salt: str) -> Column:
     """Stable number 0..99 from the salt and the key, the same on every run and engine."""
     digest = F.md5(F.concat(F.lit(salt), F.lit(":"), key.cast("string")))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 100
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, made longer until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -18,18 +18,27 @@ from ebbtide.operators.preparation import active_quarters, between
 
 STATUSES = ("new", "retained", "resurrected", "churned", "dormant")
 
+SKETCH_SIZE = 4096
+
 
 class UnobservedHorizon(ValueError):
     """The outcome window runs past the last day with data, so quiet is not yet churned."""
 
 
-def purchase_gaps(order_days: DataFrame) -> DataFrame:
-    """k, d, prev, gap: days from each customer's previous order day; none for the first."""
+def purchase_gaps(order_days: DataFrame, last: DataFrame | None = None) -> DataFrame:
+    """k, d, prev, gap: days from each customer's previous order day; none for the first.
+
+    With `last` (k, d: each customer's last order day before those of `order_days`), gaps of new
+    days come from those days and that table, without the order days in between.
+    """
     prev = F.lag("d").over(W.partitionBy("k").orderBy("d"))
+    days = order_days.select("k", "d", F.lit(True).alias("new"))
+    if last is not None:
+        days = days.unionByName(last.select("k", "d", F.lit(False).alias("new")))
     return (
-        order_days.select("k", "d")
-        .withColumn("prev", prev)
-        .filter(F.col("prev").isNotNull())
+        days.withColumn("prev", prev)
+        .filter(F.col("prev").isNotNull() & F.col("new"))
+        .drop("new")
         .withColumn("gap", F.datediff("d", "prev").cast("bigint"))
     )
 
@@ -57,6 +66,37 @@ def gap_quantiles(gaps: DataFrame, probs: Sequence[float], exact: bool = True) -
     )
 
 
+def gap_sketches(gaps: DataFrame, by: Sequence[str] = ("d",), k: int = SKETCH_SIZE) -> DataFrame:
+    """`by` columns, gaps, sketch: one mergeable sketch of the gaps per group, by order day.
+
+    To be stored, by day, with `write_result(..., mode="replace", partition_by=["d"])`: a new or
+    corrected day is then sketched from its own gaps, and no other day is read.
+    """
+    return gaps.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("gaps"), F.kll_sketch_agg_bigint("gap", F.lit(k)).alias("sketch")
+    )
+
+
+def sketched_quantiles(
+    sketches: DataFrame, probs: Sequence[float], by: Sequence[str] = (), k: int = SKETCH_SIZE
+) -> DataFrame:
+    """`by` columns, prob, gap: quantiles of all gaps that the sketches stand for.
+
+    A sketch has about 3k values at most, whatever it stands for, and merges before the shuffle.
+    The rank is off by about 2 / k, and which value that gives differs from run to run. No gaps,
+    no rows.
+    """
+    probs = [float(p) for p in probs]
+    asked = F.array(*[F.lit(p) for p in probs])
+    whole = (
+        sketches.groupBy(*by)
+        .agg(F.sum("gaps").alias("gaps"), F.kll_merge_agg_bigint("sketch", F.lit(k)).alias("sketch"))
+        .filter(F.col("gaps") > 0)
+    )
+    cuts = F.arrays_zip(asked.alias("prob"), F.kll_sketch_get_quantile_bigint("sketch", asked).alias("gap"))
+    return whole.select(*by, F.inline(cuts))
+
+
 def recency_state(facts: DataFrame, snapshot: str | dt.date, days: int) -> DataFrame:
     """k, last_d, days_since, state: lapsed when the last order is more than `days` days back.
 

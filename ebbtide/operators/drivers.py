@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
-from functools import reduce
 from itertools import combinations
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,11 +17,12 @@ from ebbtide.functions import day, quarter_index, ratio
 from ebbtide.functions.columns import quarter_of
 from ebbtide.operators.preparation import between
 from ebbtide.plans import durable, quantiles
+from ebbtide.sources import literal_rows
 
 WINDOWS = (90, 180, 365)
+SOME_ROWS = 1000  # of which a value per column is taken
 URGENT = "1-URGENT"
 RETURNED = "R"
-PAIRS_AT_ONCE = 11
 RULE_COLUMNS = "segment string, priority int, r_lo int, r_hi int, f_lo int, f_hi int, m_lo int, m_hi int"
 
 
@@ -255,25 +258,40 @@ def category_lift(label: DataFrame, dims: DataFrame, by: Sequence[str]) -> DataF
 
 
 def feature_correlation(features: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """feature_a, feature_b, correlation for every pair; null where a feature does not vary.
+    """feature_a, feature_b, correlation for every pair, over the rows that have both; null where
+    a feature does not vary.
 
-    The features are written once, and a few pairs at a time are aggregated from them side by
-    side, so no row is repeated per pair and no aggregate is too wide for generated code.
+    The features are written, and read once however many columns there are: each row gives a
+    matrix of products (which pairs are there, values, squares and products of those that are),
+    matrices are added up per task and then over tasks, and one matrix is left. Values are taken
+    relative to one of the column's own, so that little is lost when means are taken out.
     """
+    columns = list(columns)
+    if len(columns) < 2:
+        return features.sparkSession.createDataFrame([], "feature_a string, feature_b string, correlation double")
     kept = durable(features.select(*[F.col(c).cast("double").alias(c) for c in columns]))
-    pairs = list(combinations(columns, 2))
-
-    def correlation(a: str, b: str) -> Column:
-        # Not F.corr, which divides by zero for a constant column when ANSI mode is on.
-        spread = F.sqrt(F.regr_sxx(b, a)) * F.sqrt(F.regr_syy(b, a))
-        return F.struct(
-            F.lit(a).alias("feature_a"),
-            F.lit(b).alias("feature_b"),
-            ratio(F.regr_sxy(b, a), spread).alias("correlation"),
-        )
-
-    parts = [
-        kept.agg(F.array(*[correlation(a, b) for a, b in pairs[i : i + PAIRS_AT_ONCE]]).alias("c"))
-        for i in range(0, len(pairs), PAIRS_AT_ONCE)
+    some = kept.limit(SOME_ROWS).agg(*[F.first(c, ignorenulls=True).alias(c) for c in columns]).first()
+    values = F.array(*[F.col(c) - F.lit(some[c] or 0.0) for c in columns])
+
+    def cross(a: Column, b: Column) -> Column:
+        return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: x * y)))
+
+    x = F.transform("x", lambda v: F.coalesce(v, F.lit(0.0)))
+    there = F.transform("x", lambda v: v.isNotNull().cast("double"))
+    squares = F.transform(x, lambda v: v * v)
+    products = F.concat(cross(there, there), cross(x, there), cross(squares, there), cross(x, x))
+    (sums,) = kept.select(values.alias("x")).agg(
+        vector_to_array(Summarizer.sum(array_to_vector(products))).alias("s")
+    ).first() or (None,)
+    k = len(columns)
+    # Without rows there are no sums; every pair is listed all the same.
+    n, first, second, both = np.array(sums if sums else [0.0] * 4 * k * k).reshape(4, k, k)
+    found = np.divide(1.0, n, out=np.zeros((k, k)), where=n > 0)
+    spread = np.maximum(0.0, second - first**2 * found)
+    spread[spread <= second * 1e-14] = 0.0  # what rounding leaves of a column that does not vary
+    together = both - first * first.T * found
+    rows = [
+        (a, b, float(together[i, j] / scale) if (scale := np.sqrt(spread[i, j]) * np.sqrt(spread[j, i])) else None)
+        for (i, a), (j, b) in combinations(enumerate(columns), 2)
     ]
-    return reduce(DataFrame.unionByName, parts).select(F.inline("c"))
+    return literal_rows(features.sparkSession, rows, "feature_a string, feature_b string, correlation double")

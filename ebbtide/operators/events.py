@@ -7,12 +7,12 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ebbtide.functions import cell_start, day, from_micros, micros, ratio
-from ebbtide.plans import durable, running
+from ebbtide.plans import running, sliced_once
 
 SECOND = 1_000_000
 HOUR = 3600 * SECOND
@@ -60,24 +60,60 @@ def funnel(events: DataFrame, steps: Sequence[str], within: int = DAY) -> DataFr
     """user_id, furthest: how many of the ordered steps the user completed at best.
 
     Steps must be strictly later than each other and at most `within` after step 1. Users
-    without any step's event are absent; without a first step, furthest is 0.
+    without any step's event are absent; without a first step, furthest is 0. Rows without a
+    time can only be a first step.
 
     Of all chains that reach a step, the one that started last has the most time left, so one
-    start time per step is carried along and no pairs of events are formed. Each step's rows
-    are written, as the next step reads them twice.
+    start per step tells all about what a user has done so far. The (user, time) pairs are range
+    partitioned into slices, and each slice is summed up per user: the latest start of chains
+    that begin in it and reach step j (s_j), and how early step j can be completed in it by a
+    chain that comes in with step i (e_i_j). Such summaries follow each other as functions do,
+    so a user's are folded in the order of slices; a user has at most one per slice.
     """
-    line = _timed(events.filter(F.col("event_type").isin(list(steps)))).select(
-        "user_id", "at", "event_type"
+    k = len(steps)
+    kind, at = F.col("event_type"), F.col("at")
+    line = (
+        _timed(events.filter(kind.isin(list(steps)) & F.col("user_id").isNotNull()))
+        .groupBy("user_id", "at")
+        .agg(*[F.bool_or(kind == name).alias(f"is_{j}") for j, name in enumerate(steps, 1)])
     )
-    at, kind, start = F.col("at"), F.col("event_type"), F.col("start")
-    line = line.distinct().withColumn("start", F.when(kind == steps[0], at))
-    line = line.withColumn("step", F.when(kind == steps[0], 1).otherwise(0))
-    for i, name in enumerate(steps[1:], 2):
-        line = running(line, "user_id", "at", start, F.max, _greatest, "chain", strict=True)
-        onward = F.when((kind == name) & (at - F.col("chain") <= within), F.col("chain"))
-        line = line.withColumn("start", onward).drop("chain")
-        line = durable(line.withColumn("step", F.when(start.isNotNull(), i).otherwise(F.col("step"))))
-    return line.groupBy("user_id").agg(F.max("step").cast("int").alias("furthest"))
+    placed = sliced_once(line, [F.col("user_id"), at])
+    before = W.partitionBy("_slice", "user_id").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    placed = placed.withColumn("s_1", F.when(F.col("is_1"), at))
+    ends: list[str] = []
+    for j in range(2, k + 1):
+        here = F.col(f"is_{j}") & at.isNotNull()
+        chain = F.max(f"s_{j - 1}").over(before)
+        done = {f"s_{j}": F.when(here & (at - chain <= within), chain)}
+        for i in range(1, j):
+            come = here if i == j - 1 else here & F.min(f"e_{i}_{j - 1}").over(before).isNotNull()
+            done[f"e_{i}_{j}"] = F.when(come, at)
+        ends += list(done)[1:]
+        placed = placed.withColumns(done)
+    starts = [f"s_{j}" for j in range(1, k + 1)]
+    parts = placed.groupBy("_slice", "user_id").agg(
+        *[F.max(c).alias(c) for c in starts], *[F.min(c).alias(c) for c in ends], F.bool_or("is_1").alias("is_1")
+    )
+
+    def follow(was: Column, part: Column) -> Column:
+        def start(j: int) -> Column:
+            onward = [
+                F.when(part[f"e_{i}_{j}"] - was[f"s_{i}"] <= within, was[f"s_{i}"]) for i in range(1, j)
+            ]
+            return F.greatest(was[f"s_{j}"], part[f"s_{j}"], *onward)
+
+        return F.struct(*[start(j).alias(f"s_{j}") for j in range(1, k + 1)])
+
+    nothing = F.struct(*[F.lit(None).cast("bigint").alias(c) for c in starts])
+    whole = parts.groupBy("user_id").agg(
+        F.array_sort(F.collect_list(F.struct("_slice", *starts, *ends))).alias("parts"),
+        F.bool_or("is_1").alias("is_1"),
+    )
+    done = F.aggregate("parts", nothing, follow)
+    reached = F.when(F.col("is_1"), 1).otherwise(0)
+    for j in range(2, k + 1):
+        reached = F.when(F.col("done")[f"s_{j}"].isNotNull(), j).otherwise(reached)
+    return whole.withColumn("done", done).select("user_id", reached.cast("int").alias("furthest"))
 
 
 def event_retention(

@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -18,6 +18,7 @@ from ebbtide.functions import day, ratio
 from ebbtide.operators.drivers import band, numeric_features
 from ebbtide.operators.preparation import between
 from ebbtide.plans import durable, prefix_sum, quantiles
+from ebbtide.sources import literal_rows
 
 CATEGORIES = ("segment", "region")
 
@@ -27,8 +28,9 @@ def fit_churn_model(
     label: DataFrame,
     numeric: Sequence[str] | None = None,
     categories: Sequence[str] = CATEGORIES,
+    reg: float = 0.01,
 ) -> PipelineModel:
-    """Logistic regression of `churned`; missing numbers take the mean, unseen categories their own.
+    """Logistic regression of `churned` with penalty `reg`; missing numbers take the mean, unseen categories their own.
 
     The joined input is kept for the passes of the fit only and can be recomputed if an
     executor is lost.
@@ -45,7 +47,7 @@ def fit_churn_model(
     stages = (coded if categories else []) + [
         Imputer(inputCols=numeric, outputCols=filled),
         VectorAssembler(inputCols=filled + code, outputCol="inputs"),
-        LogisticRegression(featuresCol="inputs", labelCol="churned", regParam=0.01, maxIter=100, tol=1e-9),
+        LogisticRegression(featuresCol="inputs", labelCol="churned", regParam=reg, maxIter=100, tol=1e-9),
     ]
     wanted = features.join(label, "k").select(
         "churned", *categories, *[F.col(c).cast("double").alias(c) for c in numeric]
@@ -76,6 +78,84 @@ def score(model: PipelineModel, features: DataFrame) -> DataFrame:
     return model.transform(ready).select("k", vector_to_array("probability")[1].alias("risk"))
 
 
+def _parts(model: PipelineModel) -> tuple[list[str], list[str], list[list[str]], list[float], list[float], float]:
+    """Numeric columns, categories, their values, coefficients in order, means, intercept."""
+    indexers = [s for s in model.stages if s.hasParam("stringOrderType")]
+    imputer = next(s for s in model.stages if s.hasParam("missingValue"))
+    numeric = imputer.getInputCols()
+    means = imputer.surrogateDF.select(*numeric).first()
+    fitted = model.stages[-1]
+    return (
+        numeric,
+        indexers[0].getInputCols() if indexers else [],
+        [list(x) for x in indexers[0].labelsArray] if indexers else [],
+        [float(c) for c in fitted.coefficients],
+        [float(m) for m in means],
+        float(fitted.intercept),
+    )
+
+
+def model_terms(model: PipelineModel) -> DataFrame:
+    """term, coefficient, fill: the model as a table. The intercept is the term ``, a number the
+    name of its column, with what stands in for a missing one, and a category `column=value`.
+    Values of a category that the fit has not seen have no term and add nothing."""
+    numeric, categories, values, coefficients, means, intercept = _parts(model)
+    names = numeric + [f"{c}={v}" for c, own in zip(categories, values) for v in own]
+    fills = means + [None] * (len(names) - len(means))
+    rows = [("", intercept, None), *zip(names, coefficients, fills, strict=True)]
+    return literal_rows(SparkSession.active(), rows, "term string, coefficient double, fill double")
+
+
+def score_by_terms(terms: DataFrame, features: DataFrame, numeric: Sequence[str], categories: Sequence[str]) -> DataFrame:
+    """k, risk: `score`'s risk from a table of terms, by a join and a sum.
+
+    A customer becomes a row per column and meets the terms on their names, so the table can be
+    edited, compared or moved to another engine as it is. There are few terms and the planner
+    knows how many, so customers do not move for the join.
+    """
+    pairs = [F.struct(F.lit("").alias("term"), F.lit(1.0).alias("value"))]
+    pairs += [F.struct(F.lit(c).alias("term"), F.col(c).cast("double").alias("value")) for c in numeric]
+    pairs += [F.struct(F.concat(F.lit(f"{c}="), c).alias("term"), F.lit(1.0).alias("value")) for c in categories]
+    missing = F.col("value").isNull() | F.isnan("value")
+    added = F.col("coefficient") * F.when(missing, F.col("fill")).otherwise(F.col("value"))
+    summed = (
+        features.select("k", F.inline(F.array(*pairs)))
+        .join(terms, "term")
+        .groupBy("k")
+        .agg(F.sum(added).alias("s"))
+    )
+    return summed.select("k", (1 / (1 + F.exp(-F.col("s")))).alias("risk"))
+
+
+def model_gradient(model: PipelineModel, features: DataFrame, label: DataFrame) -> DataFrame:
+    """term, coefficient, gradient: the slope of what the fit minimises, per term, at the model.
+
+    That is the mean log loss plus half of `regParam` times the squared coefficients, both for
+    inputs scaled to a standard deviation of one; at the optimum every slope is 0. The sums are
+    one aggregate over the rows, and a row per term is left. A term whose input does not vary
+    has none (0).
+    """
+    numeric, categories, values, _, _, _ = _parts(model)
+    terms = [""] + numeric + [f"{c}={v}" for c, own in zip(categories, values) for v in own]
+    ready = features.join(label, "k").select(
+        "churned", *categories, *[F.col(c).cast("double").alias(c) for c in numeric]
+    )
+    off = vector_to_array("probability")[1] - F.col("churned")
+    inputs = F.concat(F.array(F.lit(1.0)), vector_to_array("inputs"))
+    sums = (
+        model.transform(ready)
+        .select(off.alias("off"), F.posexplode(inputs).alias("at", "x"))
+        .groupBy("at")
+        .agg(F.avg(F.col("off") * F.col("x")).alias("slope"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("spread"))
+    )
+    rows = [(i, name) for i, name in enumerate(terms)]
+    named = literal_rows(features.sparkSession, rows, "at int, term string").join(model_terms(model), "term")
+    reg = float(model.stages[-1].getRegParam())
+    scaled = F.col("slope") / F.nullif("spread", F.lit(0.0)) + reg * F.col("coefficient") * F.col("spread")
+    slope = F.when(F.col("term") == "", F.col("slope")).otherwise(F.coalesce(scaled, F.lit(0.0)))
+    return sums.join(named, "at").select("term", "coefficient", slope.alias("gradient"))
+
+
 def recency_score(facts: DataFrame, cutoff: str | dt.date, lookback_days: int = 365) -> DataFrame:
     """k, risk: days since the last order as a share of the lookback; a score without a model."""
     at = day(cutoff)

@@ -22,6 +22,17 @@ def in_slices(
     return durable(df.repartitionByRange(n, *order).withColumn("_slice", F.spark_partition_id())), n
 
 
+def sliced_once(df: DataFrame, order: Sequence[Column], slices: int | None = None) -> DataFrame:
+    """`df` in slices as `in_slices` makes them, a task each, without a written copy.
+
+    For results that read the slices once: bounds are drawn once for an execution and hold for
+    tasks that are run again, but another execution may draw others.
+    """
+    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = df.repartitionByRange(n, *order).withColumn("_slice", F.spark_partition_id())
+    return numbered.repartitionById(n, "_slice")
+
+
 def prefix_sum(
     df: DataFrame,
     order: Sequence[Column],

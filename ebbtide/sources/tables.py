@@ -83,6 +83,10 @@ def write_result(
 ) -> StreamingQuery | None:
     """Write parquet. A stream appends until its input is used up and returns its query.
 
+    `mode` is one of Spark's, or `replace`, which needs `partition_by`: partitions that `df` has
+    rows of are replaced as a whole and all others stay, so a day that is run again is neither
+    doubled nor does it remove another. A partition of which nothing is left stays as it was.
+
     Batch rows are first rebalanced on the partition columns, so that each folder gets a few
     files of good size and a very big folder is still written by many tasks.
 
@@ -90,9 +94,13 @@ def write_result(
     it makes a restart carry on without losing or repeating rows.
     """
     if not df.isStreaming:
+        if mode == "replace" and not partition_by:
+            raise ValueError("replacing partitions needs the columns they are made of")
         if partition_by:
             df = df.hint("rebalance", *partition_by)
-        df.write.mode(mode).partitionBy(*partition_by).parquet(path)
+        own = "dynamic" if mode == "replace" else "static"
+        writer = df.write.mode("overwrite" if mode == "replace" else mode)
+        writer.option("partitionOverwriteMode", own).partitionBy(*partition_by).parquet(path)
         return None
     if checkpoint is None:
         raise ValueError("a streaming write needs a checkpoint folder")

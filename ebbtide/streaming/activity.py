@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ebbtide.functions import unused
 from ebbtide.plans import shared_folder
 from ebbtide.sources import SCHEMAS, write_result
 
@@ -84,13 +85,27 @@ def stream_sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 hour
     )
 
 
-def stream_dedup(events: DataFrame, late: str = "1 hour") -> DataFrame:
+def stream_dedup(events: DataFrame, late: str = "1 hour", salts: int | None = None) -> DataFrame:
     """Events with replays of an `event_id` removed, as long as they come within `late`.
 
     Each event comes out when it is first seen. If replays of one id differ in time or payload,
     which of them that is depends on the order of arrival.
+
+    Two keyed states follow each other. The first knows ids per salt, which is the number of the
+    input's partition modulo `salts` (shuffle partitions unless given), so an id that is replayed
+    in a third of the rows is spread over as many tasks; the second knows ids. A batch sends at
+    most one row per id and salt to the second, and an id that an earlier batch has had in every
+    salt sends none.
     """
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    salts = salts or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = unused(events, "salt")
+    return (
+        events.withWatermark("ts", late)
+        .withColumn(salt, F.pmod(F.spark_partition_id(), F.lit(salts)))
+        .dropDuplicatesWithinWatermark(["event_id", salt])
+        .drop(salt)
+        .dropDuplicatesWithinWatermark(["event_id"])
+    )
 
 
 def stream_idle_alerts(events: DataFrame, hours: int = 24, late: str = "1 hour") -> DataFrame:

@@ -27,6 +27,7 @@ DIMS = ("region", "segment")
 STEPS = ("view", "click", "purchase")
 SALT, HOLDOUT_PCT = "spring", 20
 BUDGET = 5000.0
+STEEPEST = 1e-6  # slope per standard deviation at which a term counts as fitted
 BURST = "2024-01-10 08:00:00"
 _SAVED: dict[tuple[str, str], str] = {}
 
@@ -198,6 +199,28 @@ def _auc_model(x: Inputs) -> DataFrame:
     return scoring.auc(scores, x.label()).select("customers", "churned", same.alias("agrees"))
 
 
+def _terms(x: Inputs) -> DataFrame:
+    """The model's terms, coefficients and slopes, and whether each slope is as good as 0."""
+    found = scoring.model_gradient(x.model(), x.features(TRAIN_CUTOFF), x.label(TRAIN_CUTOFF))
+    return found.withColumn("settled", F.abs("gradient") < STEEPEST)
+
+
+def _risks(x: Inputs) -> DataFrame:
+    """k, the model's risk and the same from the table of its terms."""
+    model = x.model()
+    own = scoring.score_by_terms(
+        scoring.model_terms(model), x.features(), drivers.numeric_features(), scoring.CATEGORIES
+    )
+    return scoring.score(model, x.features()).join(own.withColumnRenamed("risk", "risk_by_terms"), "k")
+
+
+def _sketched(x: Inputs) -> DataFrame:
+    """Quantiles of the gaps from one stored sketch per order day."""
+    folder = shared_folder(x.spark, "gap-sketches")
+    write_result(churn.gap_sketches(x.gaps()).withColumn("year", F.year("d")), folder, "replace", ["year"])
+    return churn.sketched_quantiles(x.spark.read.parquet(folder), PROBS)
+
+
 def _approximate(x: Inputs) -> DataFrame:
     """prob, and whether the approximate quantile is off by at most a ten-thousandth in rank."""
     gaps = x.gaps()
@@ -258,6 +281,7 @@ _BUILD: dict[str, Callable[[Inputs], DataFrame]] = {
     "purchase_gaps": lambda x: churn.purchase_gaps(x.days()),
     "gap_quantiles": lambda x: churn.gap_quantiles(churn.purchase_gaps(x.days()), PROBS),
     "gap_quantiles_approx": _approximate,
+    "gap_quantiles_sketched": _sketched,
     "recency_state": lambda x: churn.recency_state(x.facts(), CUTOFF, 180),
     "churn_label": lambda x: x.label(),
     "churn_rate": lambda x: churn.churn_rate(x.label(), x.dims(), DIMS),
@@ -291,10 +315,13 @@ _BUILD: dict[str, Callable[[Inputs], DataFrame]] = {
     ),
     # Scoring
     "fit_churn_model": _calibration,
+    "fit_churn_model_terms": _terms,
     "score": _scored,
+    "score_risk": _risks,
     "lift_table": lambda x: scoring.lift_table(x.risk(), x.label()),
     "auc": lambda x: scoring.auc(x.risk(), x.label()),
     "auc_model": _auc_model,
+    "auc_model_value": lambda x: scoring.auc(x.model_scores(), x.label()),
     "value_scores": lambda x: x.valued(),
     "value_at_risk": lambda x: scoring.value_at_risk(x.valued(), x.dims(), DIMS),
     # Response strategy

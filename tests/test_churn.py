@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
+from bisect import bisect_left, bisect_right
 
 import pytest
-from conftest import as_set
+from conftest import TESTDATA, as_set
 from pyspark.sql import functions as F
 
 from ebbtide.operators import churn
@@ -137,3 +139,42 @@ def test_last_orders(facts):
     assert as_set(got, "k", "d", "rank") == {
         (1, dt.date(2000, 1, 3), 1), (1, dt.date(2000, 1, 2), 2), (2, dt.date(1999, 1, 1), 1)
     }
+
+
+def test_sketched_quantiles_and_a_day_added_later(spark, tmp_path):
+    """Each day is sketched from its own gaps; ranks are off by at most 2 / k."""
+    from ebbtide.sources import write_result
+
+    rng, k, out = random.Random(3), 256, str(tmp_path / "sketches")
+    start = dt.date(2000, 1, 1)
+    rows = sorted({(rng.randrange(300), start + dt.timedelta(rng.randrange(400))) for _ in range(20_000)})
+    days = spark.createDataFrame(rows, "k bigint, d date")
+    late = start + dt.timedelta(399)
+    early = days.filter(F.col("d") < F.lit(late))
+    write_result(churn.gap_sketches(churn.purchase_gaps(early), k=k), out, "replace", ["d"])
+    # The last day, twice; the second run replaces the first. Of earlier days only the last counts.
+    last = early.groupBy("k").agg(F.max("d").alias("d"))
+    for _ in range(2):
+        added = churn.purchase_gaps(days.filter(F.col("d") == F.lit(late)), last)
+        write_result(churn.gap_sketches(added, k=k), out, "replace", ["d"])
+    stored = spark.read.parquet(out)
+    gaps = sorted(r["gap"] for r in churn.purchase_gaps(days).collect())
+    assert stored.agg(F.sum("gaps")).first()[0] == len(gaps)
+    assert stored.select("d").distinct().count() == stored.count()
+    probs = (0.0, 0.1, 0.5, 0.9, 0.99, 1.0)
+    for r in churn.sketched_quantiles(stored, probs, k=k).collect():
+        below, upto = (bisect(gaps, r["gap"]) / len(gaps) for bisect in (bisect_left, bisect_right))
+        assert below - 2 / k <= r["prob"] <= upto + 2 / k
+    by_half = stored.withColumn("half", F.month("d") > 6)
+    halves = churn.sketched_quantiles(by_half, (0.5,), ["half"], k=k)
+    assert halves.columns == ["half", "prob", "gap"] and halves.count() == 2
+    assert churn.sketched_quantiles(stored.limit(0), probs).count() == 0
+
+
+def test_sketched_query_is_near_the_exact_one(spark):
+    from ebbtide.suite.queries import QUERIES
+
+    folder = str(TESTDATA / "sf0.01")
+    exact = {r["prob"]: r["gap"] for r in QUERIES["gap_quantiles"](spark, folder).collect()}
+    near = {r["prob"]: r["gap"] for r in QUERIES["gap_quantiles_sketched"](spark, folder).collect()}
+    assert set(near) == set(exact) and all(abs(near[p] - exact[p]) <= 0.02 * exact[p] + 2 for p in exact)

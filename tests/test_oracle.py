@@ -12,6 +12,8 @@ from ebbtide.suite import queries as suite
 SF = str(TESTDATA / "sf0.01")
 # The optional queries have tests of their own in tests/llm.
 QUERIES, SQL = suite.QUERIES, oracle.ORACLE
+# Results of fits and sketches; compared with brute force in test_scoring and test_churn.
+WITHOUT_SQL = {"fit_churn_model_terms", "score_risk", "auc_model_value", "gap_quantiles_sketched"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -20,7 +22,7 @@ def test_same_as_sql(spark, name):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) == set(SQL) | WITHOUT_SQL and not set(SQL) & WITHOUT_SQL
 
 
 def test_entry_offers_every_query():

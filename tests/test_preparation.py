@@ -82,3 +82,27 @@ def test_a_stream_cannot_be_written_without_a_checkpoint(spark, tmp_path):
     rate = spark.readStream.schema("id bigint").parquet(str(tmp_path))
     with pytest.raises(ValueError, match="checkpoint"):
         write_result(rate, str(tmp_path / "out"))
+
+
+def test_a_day_run_again_replaces_only_itself(spark, tmp_path):
+    path = str(tmp_path / "days")
+
+    def run(day, values, mode="replace"):
+        df = spark.createDataFrame([(day, v) for v in values], "day string, v int")
+        write_result(df, path, mode, ["day"])
+
+    run("a", [1, 2, 3])
+    run("b", [4, 5])
+    run("a", [6])
+    assert as_set(spark.read.parquet(path)) == {(6, "a"), (4, "b"), (5, "b")}
+    run("a", [])  # nothing to put in its place
+    assert spark.read.parquet(path).count() == 3
+    with pytest.raises(ValueError):
+        write_result(spark.range(1), path, "replace")
+    # `overwrite` means the whole, whatever the session says.
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        run("c", [7], "overwrite")
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+    assert as_set(spark.read.parquet(path)) == {(7, "c")}

@@ -13,8 +13,8 @@ SF = str(TESTDATA / "sf0.001")
 BATCH = [n for n in QUERIES if not n.startswith("stream")]
 # Aggregates to one row, and windows over rows already counted per quarter, day, band or slice.
 ONE_TASK = {
-    "load", "integrity_report", "gap_quantiles", "gap_quantiles_approx", "growth_accounting",
-    "survival_curve", "lift_table", "auc", "auc_model", "budget_list", "experiment_readout",
+    "load", "integrity_report", "gap_quantiles", "gap_quantiles_approx", "gap_quantiles_sketched", "growth_accounting",
+    "survival_curve", "lift_table", "auc", "auc_model", "auc_model_value", "budget_list", "experiment_readout",
     "event_retention", "feature_correlation", "fit_churn_model",
 }
 # query: (scans, shuffles on keys)

@@ -7,8 +7,8 @@ from conftest import TESTDATA, as_set
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
-from ebbtide.operators import scoring
-from ebbtide.suite.queries import TRAIN_CUTOFF, Inputs
+from ebbtide.operators import drivers, scoring
+from ebbtide.suite.queries import QUERIES, STEEPEST, TRAIN_CUTOFF, Inputs
 
 
 @pytest.fixture(scope="module")
@@ -104,3 +104,84 @@ def test_a_saved_model_scores_with_its_own_categories(spark, inputs, tmp_path, c
     fresh, loaded = scoring.score(model, features), scoring.score(scoring.load_model(folder), features)
     assert as_set(fresh.limit(50)) <= as_set(loaded)
     assert fresh.filter("risk < 0 or risk > 1").count() == 0
+
+
+def plain_gradient(inputs, model):
+    """Per term, from the rows of the training set in plain Python."""
+    import numpy as np
+
+    numeric = list(drivers.numeric_features())
+    rows = inputs.features(TRAIN_CUTOFF).join(inputs.label(TRAIN_CUTOFF), "k").collect()
+    risk = {r["k"]: r["risk"] for r in scoring.score(model, inputs.features(TRAIN_CUTOFF)).collect()}
+    off = np.array([risk[r["k"]] - r["churned"] for r in rows])
+    out = {"": off.mean()}
+    terms = {r["term"]: r["coefficient"] for r in scoring.model_terms(model).collect()}
+    columns = {}
+    for c in numeric:
+        own = np.array([np.nan if r[c] is None else float(r[c]) for r in rows])
+        columns[c] = np.where(np.isnan(own), np.nanmean(own), own)
+    for c in scoring.CATEGORIES:
+        for v in {r[c] for r in rows}:
+            columns[f"{c}={v}"] = np.array([float(r[c] == v) for r in rows])
+    for name, own in columns.items():
+        spread = own.std(ddof=1)
+        out[name] = (off * own).mean() / spread + 0.01 * terms[name] * spread
+    return out
+
+
+def test_gradient_per_term(inputs, model):
+    got = scoring.model_gradient(model, inputs.features(TRAIN_CUTOFF), inputs.label(TRAIN_CUTOFF)).collect()
+    want = plain_gradient(inputs, model)
+    assert {r["term"] for r in got} == set(want) == {r["term"] for r in scoring.model_terms(model).collect()}
+    for r in got:
+        assert math.isclose(r["gradient"], want[r["term"]], abs_tol=1e-9)
+        assert abs(r["gradient"]) < STEEPEST
+
+
+def test_a_constant_model_is_told_apart(spark, inputs):
+    """A model that gives everybody the share that churned has the right mean risk, but slopes."""
+    features, label = inputs.features(TRAIN_CUTOFF), inputs.label(TRAIN_CUTOFF)
+    constant = scoring.fit_churn_model(features, label, reg=1e9)
+    slopes = {r["term"]: r["gradient"] for r in scoring.model_gradient(constant, features, label).collect()}
+    assert abs(slopes[""]) < STEEPEST
+    # Of what the fit minimises without the penalty that made the model constant.
+    terms = {r["term"]: r["coefficient"] for r in scoring.model_terms(constant).collect()}
+    assert max(abs(c) for t, c in terms.items() if t) < 1e-9
+    risks = {round(r["risk"], 9) for r in scoring.score(constant, features).collect()}
+    assert len(risks) == 1
+    lenient = constant.copy()
+    lenient.stages[-1].set(lenient.stages[-1].regParam, 0.01)
+    steep = [abs(r["gradient"]) for r in scoring.model_gradient(lenient, features, label).collect()]
+    assert max(steep) > 1000 * STEEPEST
+
+
+def test_risk_from_the_table_of_terms(spark, inputs, model):
+    numeric = list(drivers.numeric_features())
+    features = inputs.features().withColumn("days_since", F.when(F.col("k") % 3 > 0, F.col("days_since")))
+    features = features.withColumn("region", F.when(F.col("k") % 5 == 0, "nowhere").when(F.col("k") % 7 > 0, F.col("region")))
+    own = scoring.score_by_terms(scoring.model_terms(model), features, numeric, scoring.CATEGORIES)
+    both = scoring.score(model, features).join(own.withColumnRenamed("risk", "own"), "k")
+    rows = both.collect()
+    assert len(rows) == features.count() > 0
+    assert all(math.isclose(r["risk"], r["own"], abs_tol=1e-9) for r in rows)
+    assert len({round(r["risk"], 6) for r in rows}) > len(rows) / 2
+
+
+def test_auc_of_the_model_by_brute_force(spark):
+    folder = str(TESTDATA / "sf0.001")
+    (got,) = QUERIES["auc_model_value"](spark, folder).collect()
+    small = Inputs(spark, folder)
+    pairs = small.model_scores().join(small.label(), "k").collect()
+    gone, kept = ([r["risk"] for r in pairs if r["churned"] == c] for c in (1, 0))
+    wins = sum((a > b) + (a == b) / 2 for a in gone for b in kept)
+    assert math.isclose(got["auc"], wins / (len(gone) * len(kept)), abs_tol=1e-6)
+    assert (got["customers"], got["churned"]) == (len(pairs), len(gone))
+
+
+def test_registered_results_are_the_models_own(spark):
+    folder = str(TESTDATA / "sf0.001")
+    risks = QUERIES["score_risk"](spark, folder).collect()
+    assert len(risks) == Inputs(spark, folder).features().count()
+    assert all(math.isclose(r["risk"], r["risk_by_terms"], abs_tol=2e-6) for r in risks)
+    terms = QUERIES["fit_churn_model_terms"](spark, folder).collect()
+    assert all(r["settled"] for r in terms) and len({r["term"] for r in terms}) == len(terms) > 20

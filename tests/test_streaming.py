@@ -110,13 +110,46 @@ def test_replays_within_and_across_files(files):
     files.add([(1, 0, 1), (2, 0.5, 1), (3, 0.6, 1)])  # id 2 again with another time
     files.add([(3, 0.6, 1), (4, FAR, 1)])
     got = streaming.run_to_end(streaming.stream_dedup(files.stream()), "dedup")
-    assert sorted(r.event_id for r in got.collect()) == [1, 2, 3]
+    assert sorted(r.event_id for r in got.collect()) == [1, 2, 3, 4]  # each as it is first seen
 
 
 def test_one_event_replayed_in_a_third_of_the_rows(files):
     files.add([(0, 0, 1)] * 500 + [(i, i / 1000, 1) for i in range(1, 1000)] + [(5000, FAR, 1)])
     got = streaming.run_to_end(streaming.stream_dedup(files.stream()), "hot")
-    assert got.count() == 1000 and got.select("event_id").distinct().count() == 1000
+    assert got.count() == 1001 and got.select("event_id").distinct().count() == 1001
+
+
+def test_replays_meet_once_per_salt(spark, tmp_path):
+    """A batch of four files, each with the hot id in a third of its rows, then the same again."""
+    from ebbtide.sources import write_result
+
+    files, salts = Files(spark, tmp_path), 3
+    for part in range(8):
+        files.add([(0, 0.5, 1)] * 100 + [(1000 * (part % 4) + i, i / 1000, 1) for i in range(1, 201)])
+    stream = streaming.read_events(spark, str(tmp_path / "in"), files_per_batch=4)
+    query = write_result(
+        streaming.stream_dedup(stream, salts=salts), str(tmp_path / "out"), checkpoint=str(tmp_path / "progress")
+    )
+    query.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 801
+    by_batch = {}
+    for p in query.recentProgress:
+        # The operator nearest to the result comes first.
+        ids, salted = [op.customMetrics["numDroppedDuplicateRows"] for op in p.stateOperators]
+        if p.numInputRows:
+            by_batch[p.batchId] = (p.numInputRows, p.numInputRows - salted, ids)
+    first, again = (by_batch[i] for i in sorted(by_batch))
+    assert first[0] == again[0] == 1200
+    # Of 400 rows with the hot id, as many go on as there are salts in use, three at most.
+    assert 802 <= first[1] <= 800 + salts and first[2] == first[1] - 801
+    assert again[1] <= 800 + salts and again[2] == again[1]
+
+
+def test_clashing_names_in_a_stream(files):
+    files.add([(1, 0, 1), (1, 0, 1), (2, FAR, 1)])
+    named = files.stream().withColumn("salt", F.lit("x"))
+    got = streaming.run_to_end(streaming.stream_dedup(named), "clash")
+    assert got.columns == named.columns and as_set(got, "event_id", "salt") == {(1, "x"), (2, "x")}
 
 
 def test_alerts_per_silence_even_within_one_batch(files):
