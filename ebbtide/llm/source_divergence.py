@@ -24,12 +24,13 @@ from ebbtide.plans.ranked import first_per_group
 LEAST_DOCUMENTS = 3
 TOP_TERMS = 200
 SCALE = 1_000_000_000
-ENTRIES = 200_000  # counts that a task holds before it hands them on
+ENTRIES = 400_000  # counts that a task holds before it hands them on
 CHARACTERS = 64 << 20  # of texts counted before that
 CELLS = 1 << 20  # pairs that are evaluated at one time
 SLICE = 256  # sources of a term that are paired with all others of it in one piece
 OTHERS = 1_000  # sources of a language that stand in one row, about
 SALTS = 16
+LOWER = (1 << 64) - 1
 BIG = 9_000_000_000  # counts from which on SCALE x count is no 64-bit number
 
 # Bytes that are no part of a term become blanks, A-Z small letters.
@@ -62,37 +63,33 @@ def collapsed(docs: DataFrame) -> DataFrame:
 
 
 def _counted(rows):
-    """Counts and document frequencies per language, source and term, a bounded number at a time."""
-    found: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    """Counts and document frequencies per language, source and term, a bounded number at a time.
+
+    Both are kept in one number, the frequency in its lower 64 bits.
+    """
+    found: dict[tuple[str, str], dict[bytes, int]] = {}
     held = size = 0
 
     def rows_out():
-        for (lang, source), (counts, documents) in found.items():
-            many = len(counts)
+        for (lang, source), own in found.items():
             yield (
-                [lang] * many,
-                [source] * many,
-                [t.decode() for t in counts],
-                list(counts.values()),
-                [documents[t] for t in counts],
+                [lang] * len(own),
+                [source] * len(own),
+                [t.decode() for t in own],
+                [x >> 64 for x in own.values()],
+                [x & LOWER for x in own.values()],
             )
 
     for langs, texts, sources in rows:
         for lang, text, where in zip(langs, texts, sources):
-            own = terms(text)
-            times = Counter(own)
+            times = Counter(terms(text))
+            size += len(text)
             for x in where:
-                counts, documents = found.setdefault((lang, x["source"]), (Counter(), Counter()))
-                held -= len(counts)
-                n = x["n"]
-                if n == 1:
-                    counts.update(own)
-                    documents.update(times.keys())
-                else:
-                    counts.update({t: n * k for t, k in times.items()})
-                    documents.update(dict.fromkeys(times, n))
-                held += len(counts)
-                size += len(text)
+                own, n = found.setdefault((lang, x["source"]), {}), x["n"]
+                held -= len(own)
+                for term, k in times.items():
+                    own[term] = own.get(term, 0) + (k * n << 64) + n
+                held += len(own)
                 if held > ENTRIES or size > CHARACTERS:
                     yield from rows_out()
                     found.clear()
