@@ -14,12 +14,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from ebbtide.llm.common import Recent, map_rows
+from ebbtide.llm.common import Recent, kept, map_rows
 
 WINDOW = 8  # bytes the rolling hash looks back
 PASSAGE_BITS, LONG_RUN = 8, 1024
@@ -158,9 +157,8 @@ def _joined(parts: list[tuple[bytes, str]]) -> tuple[bytes, str]:
     return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[1]])
 
 
-@lru_cache(maxsize=2)
 def _codec(tokenizer_file: str) -> ChunkCodec:
-    return ChunkCodec(tokenizer_file)
+    return kept(f"codec of {tokenizer_file}", lambda: ChunkCodec(tokenizer_file))
 
 
 def bpe_digests(docs: DataFrame, tokenizer_file: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -11,6 +13,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 ROWS = 256  # rows of a batch that are Python objects at one time
+# What Spark hands to a Python worker at one time. Texts are long, and its own 10,000 rows of them
+# are held by the executor, in Arrow's buffers and by the worker.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +39,36 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, whose session from now on sends texts to Python workers in `BATCHES`."""
+    for name, value in BATCHES.items():
+        df.sparkSession.conf.set(name, value)
+    return df
+
+
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]):
+    """What a Python worker keeps under `name` from task to task, made if it has none. Workers
+    live on from operator to operator; what others kept there is dropped."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system at the end of a task. It stays with
+    the allocators otherwise, and the most that any operator needed adds up over operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library, which has its own ways
+
+
 def map_rows(
     df: DataFrame,
     columns: Sequence[str],
@@ -58,8 +96,9 @@ def map_rows(
         for out in fn(rows()):
             arrays = [pa.array(v, f.type) for v, f in zip(out, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        give_back()
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return small_batches(df).select(*columns).mapInArrow(run, schema)
 
 
 class Recent(dict):

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import map_rows
+from ebbtide.llm.common import give_back, map_rows, small_batches
 from ebbtide.plans import durable
 
 FEATURES, SEED, RIDGE = 256, 6, 1e-3
@@ -239,6 +239,7 @@ def kept_by_quality(
     @F.pandas_udf("boolean")
     def good(texts: pd.Series) -> pd.Series:
         scores = sent.value.score(np.array([statistics(t) for t in texts]).reshape(-1, STATS))
+        give_back()
         return pd.Series(scores >= threshold)
 
-    return docs.filter(good(F.col("text")))
+    return small_batches(docs).filter(good(F.col("text")))

@@ -11,12 +11,11 @@ it is widened, in the worst case until one chunk holds all.
 from __future__ import annotations
 
 from bisect import bisect_left
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import map_rows
+from ebbtide.llm.common import kept, map_rows
 
 CHUNK, OVERLAP = 64 * 1024, 512  # bytes
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint"
@@ -89,9 +88,8 @@ class ChunkedCounter:
         return total + len(starts) - bisect_left(starts, done)
 
 
-@lru_cache(maxsize=4)
 def _counter(model_file: str, chunk: int, overlap: int) -> ChunkedCounter:
-    return ChunkedCounter(model_file, chunk, overlap)
+    return kept(f"counter of {model_file} {chunk} {overlap}", lambda: ChunkedCounter(model_file, chunk, overlap))
 
 
 def token_counts(
