@@ -361,12 +361,16 @@ def _block_links(blocks: DataFrame, threshold: Threshold) -> DataFrame:
     return together.sortWithinPartitions("block", "tile", "other").mapInArrow(run, "u bigint, v bigint")
 
 
-def _with_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """`members` (node, ...) plus the shingle set of the document that stands for each."""
+def _with_sets(docs: DataFrame, members: DataFrame, size: int, repeated: bool) -> DataFrame:
+    """`members` (node, ...) plus the shingle set of the document that stands for each, or of each
+    of its different texts if ids are `repeated`."""
     if members.count() <= SEND_AT_MOST:
         members = F.broadcast(members)
     extra = [c for c in members.columns if c != "node"]
     chosen = docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("node"))
+    if repeated:  # rows that are alike in id and text are one per task before they shuffle
+        alike = ["node", *extra, F.xxhash64("text").alias("_h1"), F.md5("text").alias("_h2")]
+        chosen = chosen.groupBy(*alike).agg(F.any_value("text").alias("text"))
 
     def run(rows):
         for *kept, texts in rows:
@@ -383,17 +387,22 @@ def jaccard_components(docs: DataFrame, size: int = 3, part: int = 9, whole: int
     shingles, and the smallest doc_id reachable by links. Two documents link when the Jaccard
     similarity of their shingle sets is at least `part` / `whole`.
 
-    Null and empty texts have no shingles and link with nothing. Repeated rows are each given;
-    rows that share a doc_id are one node of the graph. Rows with a null
+    Null and empty texts have no shingles and link with nothing. Repeated rows are each given and
+    compared once; rows that share a doc_id are one node of the graph, linked by each of their
+    texts. Rows with a null
     doc_id have no component (null) and make no links. An empty table gives none; other
     columns are not read.
     """
     threshold = Threshold(part, whole)
     every = durable(_summaries(docs, size, threshold))
-    known = every.filter("doc_id is not null and n > 0")
     prints = ["f1", "f2", "n"]
+    known = every.filter("doc_id is not null and n > 0")
     grouped = known.groupBy(*prints).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
     stands = grouped.select("node", *prints)
+    shared = durable(known.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id"))
+    repeated = not shared.isEmpty()
+    if repeated:
+        known = known.dropDuplicates(["doc_id", *prints])
     classes = durable(
         known.withColumnRenamed("doc_id", "node").join(stands, ["node", *prints]).select("node", "n", "keys", "facts")
     )
@@ -403,7 +412,10 @@ def jaccard_components(docs: DataFrame, size: int = 3, part: int = 9, whole: int
     by_size, by_count = F.ceil(F.sum("n") / TILE_SHINGLES), F.ceil(F.count("*") / TILE_MEMBERS)
     tiles = members.groupBy("block").agg(F.greatest(by_size, by_count).cast("int").alias("tiles"))
     placed = durable(members.join(tiles, "block").select("node", "block", "tiles"))
-    links = _block_links(_dealt(_with_sets(docs, placed, size)), threshold)
+    links = _block_links(_dealt(_with_sets(docs, placed, size, repeated)), threshold)
+    if repeated:  # a document with several texts hangs together with the classes of all of them
+        own = known.select("doc_id", *prints).join(shared, "doc_id").join(stands, prints)
+        links = links.union(own.select(F.col("node").alias("u"), F.col("doc_id").alias("v")))
     joined = durable(connected_components(links))
     # Copies find their class by fingerprint, which is salted as one text may be on a third of
     # the rows; all others stand for themselves.
