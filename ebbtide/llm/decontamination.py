@@ -15,14 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import map_rows, unused
+from ebbtide.llm.common import give_back, map_rows, small_batches, unused
+from ebbtide.plans import durable
 
 WINDOW = 13
 BLOCK_WORDS = 2_000_000  # benchmark words searched for in one pass; bounds what is sent out
-SHARD_ROWS = 512
+SHARD_ROWS, SHARD_BYTES = 512, 4 << 20  # of a shard's texts; or one longer text
 MATCH = ("item_id", "start", "item_start", "length")
 FOUND = (
     "doc_id bigint, n_words bigint, hits array<struct<start: bigint, stop: bigint>>, "
@@ -148,25 +150,50 @@ def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> It
     yield BenchmarkIndex(block)
 
 
-def _search(docs: DataFrame, index: BenchmarkIndex) -> DataFrame:
-    """FOUND plus `key`, for docs with a `key`."""
-    sent = docs.sparkSession.sparkContext.broadcast(index)
+def _shards(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Begin and end of runs of texts that make a shard."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if i > start and (size > SHARD_BYTES or i - start == SHARD_ROWS):
+            yield start, i
+            start, size = i, len(text or "")
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def _search(docs: DataFrame, sent: Broadcast) -> DataFrame:
+    """FOUND plus `key`, for docs with a `key` and a broadcast index."""
 
     def run(rows):
         for ids, keys, texts in rows:
-            found = sent.value.find(texts)
-            yield (
-                ids,
-                [n for n, _, _, _ in found],
-                [[{"start": a, "stop": b} for a, b in hits] for _, hits, _, _ in found],
-                [items for _, _, items, _ in found],
-                [[dict(zip(MATCH, m)) for m in matches] for _, _, _, matches in found],
-                keys,
-            )
+            for lo, hi in _shards(texts):
+                found = sent.value.find(texts[lo:hi])
+                yield (
+                    ids[lo:hi],
+                    [n for n, _, _, _ in found],
+                    [[{"start": a, "stop": b} for a, b in hits] for _, hits, _, _ in found],
+                    [items for _, _, items, _ in found],
+                    [[dict(zip(MATCH, m)) for m in matches] for _, _, _, matches in found],
+                    keys[lo:hi],
+                )
 
     return map_rows(docs, ["doc_id", "key", "text"], run, f"{FOUND}, key bigint", SHARD_ROWS)
 
 
+def _best_matches(matches: Column, items: Column) -> Column:
+    """Of each item the longest match, of equals the first in the document, as `find` has them."""
+
+    def best(item: Column) -> Column:
+        own = F.transform(
+            F.filter(matches, lambda m: m["item_id"] == item),
+            lambda m: F.struct(m["length"], -m["start"], m["item_start"], m.alias("m")),
+        )
+        return F.array_max(own)["m"]
+
+    return F.transform(items, best)
+
+
 def _united(hits: Column) -> Column:
     """Sorted runs with overlapping and touching ones joined."""
     start = F.array().cast("array<struct<start: bigint, stop: bigint>>")
@@ -190,7 +217,8 @@ def benchmark_matches(
 
     Null and empty texts have no words and no hits; repeated rows and null ids give a row
     each; an empty benchmark hits nothing; other columns are not read. A benchmark larger than
-    `block_words` is searched for in several passes, whose rows meet per document and text.
+    `block_words` is searched for in several passes, each written before the next begins; their
+    rows meet per document and text.
     """
     return _keyed_matches(docs, benchmark, block_words).drop("key")
 
@@ -198,12 +226,18 @@ def benchmark_matches(
 def _keyed_matches(docs: DataFrame, benchmark: DataFrame, block_words: int) -> DataFrame:
     """`benchmark_matches` plus key, a hash of the row's text."""
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    passes = [_search(keyed, index) for index in benchmark_blocks(benchmark, block_words)]
-    if len(passes) == 1:
-        return passes[0]
-    rows = passes[0].withColumn("pass", F.lit(0))
-    for i, more in enumerate(passes[1:], 1):
-        rows = rows.unionByName(more.withColumn("pass", F.lit(i)))
+    context = docs.sparkSession.sparkContext
+    blocks = benchmark_blocks(benchmark, block_words)
+    index, following = next(blocks), next(blocks, None)
+    if following is None:
+        return _search(keyed, context.broadcast(index))
+    rows, at = None, 0
+    while index is not None:  # a pass is written before the next one's index is sent out
+        sent = context.broadcast(index)
+        found = durable(_search(keyed, sent)).withColumn("pass", F.lit(at))
+        sent.destroy()
+        rows = found if rows is None else rows.unionByName(found)
+        index, following, at = following, next(blocks, None), at + 1
     once = rows.groupBy("doc_id", "key", "pass").agg(
         F.first(F.struct("n_words", "hits", "items", "matches")).alias("r"), F.count("*").alias("copies")
     )
@@ -217,8 +251,9 @@ def _keyed_matches(docs: DataFrame, benchmark: DataFrame, block_words: int) -> D
             F.col("r")[0]["n_words"].alias("n_words"),
             _united(F.flatten("r.hits")).alias("hits"),
             F.array_sort(F.array_distinct(F.flatten("r.items"))).alias("items"),
-            F.array_sort(F.array_distinct(F.flatten("r.matches"))).alias("matches"),
+            F.flatten("r.matches").alias("matches"),
         )
+        .withColumn("matches", _best_matches(F.col("matches"), F.col("items")))
     )
 
 
@@ -261,10 +296,12 @@ def decontaminated(
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
         out = []
-        for at in range(0, len(texts), SHARD_ROWS):
-            for n, hits, _, _ in sent.value.find(texts.iloc[at : at + SHARD_ROWS].tolist()):
+        own = texts.tolist()
+        for lo, hi in _shards(own):
+            for n, hits, _, _ in sent.value.find(own[lo:hi]):
                 hit = sum(b - a for a, b in hits)
                 out.append(not (hit and hit * one_in >= n))
+        give_back()
         return pd.Series(out, dtype=bool)
 
-    return docs.filter(clean(F.col("text")))
+    return small_batches(docs).filter(clean(F.col("text")))
