@@ -73,11 +73,16 @@ def _letter(char: Column) -> Column:
 def _assignments(text: Column, ws: Column) -> Column:
     """place, value, before, near, after of each value assigned to a credential's name: to the
     closing quote on its line, or to the next white space without the marks that end a sentence
-    or a bracket there."""
+    or a bracket there that nothing in the value opens."""
 
     def taken(rest: Column) -> Column:
         """The value without its quotes, and the quote it began with."""
-        bare = F.regexp_replace(rest, F.lit(r"^[\"'`]+|[\"'`,;.)\]}]+$"), F.lit(""))
+        bare = F.regexp_replace(rest, F.lit(r"^[\"'`]+|[\"'`,;.]+$"), F.lit(""))
+        # A bracket at the end stays if its partner is in the value, as in ${NAME}.
+        for _ in range(2):
+            for opening, closing in (r"(", r")"), (r"\[", r"\]"), (r"{", r"}"):
+                alone = rf"^([^{opening}]*?)[{closing}]++[\"'`,;.]*+$"
+                bare = F.regexp_replace(bare, F.lit(alone), F.lit("$1"))
         inner = F.substring(rest, F.lit(2), F.char_length(rest) - 2)
         return F.struct(
             F.when(rest.rlike(f"^(?:{QUOTED})$"), inner).otherwise(bare).alias("value"),
