@@ -11,17 +11,19 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterable
 from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import map_rows
+from ebbtide.llm.common import kept, map_rows
 
 DIMENSIONS, SEED = 1024, 8
-TRIPLES, WORDS = 40_000, 400_000  # kept per Python worker
-CHARACTERS = 2_000_000  # of texts whose words are counted together
+TRIPLES, WORDS = 200_000, 400_000  # kept per Python worker; and ten times as many triples in words
+CHARACTERS = 500_000  # of texts whose words are counted together, or one longer text
+TOGETHER = 4_096  # triples that have their vectors at one time
 MOST_LANGUAGES = 10_000
 SHARPNESS = 20.0
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -33,7 +35,8 @@ def letter_vector(letter: str) -> np.ndarray:
 
 
 class Bundler:
-    """Text vectors; keeps the triples of words met and the vectors of triples, both bounded."""
+    """Text vectors. Keeps the words met with the triples they have, both up to a bound; vectors
+    of triples are bound from those of their letters whenever they are needed."""
 
     def __init__(self):
         self._reset()
@@ -42,32 +45,39 @@ class Bundler:
         self.number: dict[str, int] = {}  # of a word
         self.begin, self.triples = array("q", [0]), array("q")  # where a word's triples are
         self.place: dict[str, int] = {}  # of a triple
-        self.vectors = np.empty((TRIPLES, DIMENSIONS), np.int8)
-        self.letters: dict[str, np.ndarray] = {}
+        self.spelt = array("q")  # the three letters of each, as numbers
+        self.letter: dict[str, int] = {}
+        self.vectors = np.empty((64, DIMENSIONS), np.int8)  # of letters
 
-    def _letter(self, letter: str) -> np.ndarray:
-        if letter not in self.letters:
-            self.letters[letter] = letter_vector(letter)
-        return self.letters[letter]
+    def _letter(self, letter: str) -> int:
+        at = self.letter.get(letter)
+        if at is None:
+            at = self.letter[letter] = len(self.letter)
+            if at >= len(self.vectors):
+                self.vectors = np.concatenate([self.vectors, np.empty_like(self.vectors)])
+            self.vectors[at] = letter_vector(letter)
+        return at
 
     def _triple(self, triple: str) -> int:
         at = self.place.get(triple)
         if at is None:
-            at = len(self.place)
-            if at >= len(self.vectors):
-                self.vectors = np.concatenate([self.vectors, np.empty_like(self.vectors)])
-            a, b, c = map(self._letter, triple)
-            self.vectors[at] = np.roll(a, 2) * np.roll(b, 1) * c
-            self.place[triple] = at
+            at = self.place[triple] = len(self.place)
+            self.spelt.extend(map(self._letter, triple))
         return at
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: Iterable[str]) -> None:
         for word in words:
             framed = f" {word} "
             self.triples.extend([self._triple(framed[i : i + 3]) for i in range(len(framed) - 2)])
             self.number[word] = len(self.begin) - 1
             self.begin.append(len(self.triples))
 
+    def _bound(self, triples: np.ndarray) -> np.ndarray:
+        """The vectors of some triples."""
+        a, b, c = np.frombuffer(self.spelt, np.int64).reshape(-1, 3)[triples].T
+        first, second = np.roll(self.vectors[a], 2, axis=1), np.roll(self.vectors[b], 1, axis=1)
+        return (first * second * self.vectors[c]).astype(np.float32)
+
     def vectors_of(self, texts: list[str | None]) -> np.ndarray:
         """One row per text; all zero for texts without a letter."""
         out, start, size = [], 0, 0
@@ -79,11 +89,12 @@ class Bundler:
         return np.concatenate(out) if out else np.zeros((0, DIMENSIONS), np.float32)
 
     def _vectors(self, texts: list[str | None]) -> np.ndarray:
-        if len(self.place) > 2 * TRIPLES or len(self.number) > WORDS:
+        if len(self.place) > TRIPLES or len(self.number) > WORDS or len(self.triples) > 10 * WORDS:
             self._reset()
         split = [LETTERS.findall((t or "").lower()) for t in texts]
         words = list(chain.from_iterable(split))
-        self._learn(set(words).difference(self.number))
+        # In the order of the texts, so that the sums below are added up alike every time.
+        self._learn(w for w in dict.fromkeys(words) if w not in self.number)
         ids = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         rows = np.repeat(np.arange(len(texts)), [len(w) for w in split])
         # Different words of each text and how often, then the triples of those.
@@ -94,24 +105,22 @@ class Bundler:
         first = np.repeat(begin[ids] - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
         triples = np.array(self.triples, np.int64)[first + np.arange(len(first))]
         rows, times = np.repeat(rows, many), np.repeat(times, many).astype(float)
-        used = np.flatnonzero(np.bincount(triples, minlength=len(self.place)))
-        column = np.zeros(max(1, len(self.place)), np.int64)
-        column[used] = np.arange(len(used))
-        bag = np.bincount(rows * len(used) + column[triples], times, len(texts) * len(used))
-        bag = bag.reshape(len(texts), -1).astype(np.float32)
+        # Triples a few at a time, whatever their number, and their counts per text beside them.
+        order = np.argsort(triples, kind="stable")
+        rows, times, triples = rows[order], times[order], triples[order]
+        used, start = np.unique(triples, return_index=True)
+        column = np.repeat(np.arange(len(used)), np.diff(np.append(start, len(triples))))
         out = np.zeros((len(texts), DIMENSIONS), np.float32)
-        for at in range(0, len(used), 4096):
-            out += bag[:, at : at + 4096] @ self.vectors[used[at : at + 4096]].astype(np.float32)
+        for at in range(0, len(used), TOGETHER):
+            end = min(at + TOGETHER, len(used))
+            own = slice(start[at], start[end] if end < len(used) else None)
+            bag = np.bincount(rows[own] * (end - at) + column[own] - at, times[own], len(texts) * (end - at))
+            out += bag.reshape(len(texts), -1).astype(np.float32) @ self._bound(used[at:end])
         return out
 
 
-_BUNDLERS: list[Bundler] = []
-
-
 def _bundler() -> Bundler:
-    if not _BUNDLERS:
-        _BUNDLERS.append(Bundler())
-    return _BUNDLERS[0]
+    return kept("bundler", Bundler)
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -120,14 +129,17 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def language_prototypes(docs: DataFrame, per_language: int = 500) -> dict[str, np.ndarray]:
-    """Unit prototype per non-null `lang` of `docs`, from about `per_language` texts of each.
-
-    A language with more texts is sampled by a hash of doc_id, at a rate its count gives, so
-    the training set is bounded by `per_language` and the number of languages. Sums of one
-    language are added up per task and then by dimension, so only prototypes reach the driver.
+    """Unit prototype per non-null `lang` of `docs`, from about `per_language` different texts of
+    each; copies of a text count once.
+
+    Of a language with more texts a hash of the text draws some, at a rate its number of
+    different texts gives, so the training set is bounded by `per_language` and the number of
+    languages, whatever ids the rows have and however often they are repeated, and no language
+    goes without. Sums of one language are added up per task and then by dimension, so only
+    prototypes reach the driver.
     """
-    known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull())
-    counts = known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    known = docs.select("text", "lang", F.xxhash64("text", F.lit(SEED)).alias("_draw")).filter(F.col("lang").isNotNull())
+    counts = known.select("lang", "_draw").distinct().groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
@@ -135,8 +147,9 @@ def language_prototypes(docs: DataFrame, per_language: int = 500) -> dict[str, n
     rates = docs.sparkSession.createDataFrame(
         [(r["lang"], min(1.0, per_language / r["count"])) for r in counts], "lang string, _rate double"
     )
-    scaled = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20)) / (1 << 20)
-    sample = known.join(F.broadcast(rates), "lang").filter(scaled < F.col("_rate"))
+    scaled = F.pmod("_draw", F.lit(1 << 20)) / (1 << 20)
+    drawn = known.join(F.broadcast(rates), "lang").filter(scaled < F.col("_rate"))
+    sample = drawn.groupBy("lang", "_draw").agg(F.any_value("text").alias("text"))
 
     def bundle(rows):
         sums: dict[str, np.ndarray] = {}
