@@ -1,7 +1,9 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
-Lines are put into one form, and the documents that hold each are counted per host. Lines
-above the limit are boilerplate and removed, and documents with too little left are rejected.
+Lines are put into one form, and the documents that hold each are counted per host. A line that
+more than a share of the host's documents hold, and more than a few, is boilerplate and removed,
+and documents with too little left are rejected: less than a fifth of their words, or fewer words
+than any document needs.
 Counts are taken per document and line before anything is brought together, and the join back
 is salted, so a line that a third of the documents share loads no task.
 """
@@ -18,7 +20,7 @@ BLANKS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
 WHITE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-LIMIT = 100  # documents of a host that may share a line
+FEW, ONE_IN = 10, 50  # a line is common in more documents of a host than FEW and one in ONE_IN
 LEFT = 5  # a document is depleted if less than one word in LEFT stays
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SALTS = 16
@@ -132,22 +134,26 @@ def _keyed_lines() -> Column:
     )
 
 
-def common_lines(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+def common_lines(docs: DataFrame, few: int = FEW, one_in: int = ONE_IN) -> DataFrame:
     """doc_id, line, words, common: each document's different lines, the words it has in them,
-    and whether more than `limit` documents of its host have the line.
+    and whether the line is common on its host: in more than `few` documents and in more than
+    one in `one_in` of those that have a line.
 
     Rows with one doc_id are one document. Null hosts are a host, null ids one document.
     """
     own = durable(
-        docs.select("doc_id", F.explode(_keyed_lines()).alias("x"))
-        .select("doc_id", "x.line", "x.words")
-        .groupBy("doc_id", "line")
+        docs.select("doc_id", F.xxhash64("source").alias("host"), F.explode(_keyed_lines()).alias("x"))
+        .select("doc_id", "host", "x.line", "x.words")
+        .groupBy("doc_id", "host", "line")
         .agg(F.sum("words").alias("words"))
     )
+    hosts = own.select("host", "doc_id").distinct().groupBy("host").agg(F.count("*").alias("documents"))
     above = (
-        own.groupBy("line")
+        own.groupBy("line", "host")
         .agg(F.count("*").alias("n"))
-        .filter(F.col("n") > limit)
+        .filter(F.col("n") > few)
+        .join(hosts, "host")
+        .filter(F.col("n") * one_in > F.col("documents"))
         .select("line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         .withColumn("common", F.lit(True))
     )
@@ -156,15 +162,16 @@ def common_lines(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     return marked.select("doc_id", "line", "words", F.coalesce("common", F.lit(False)).alias("common"))
 
 
-def line_rules(docs: DataFrame, limit: int = LIMIT, left: int = LEFT) -> DataFrame:
-    """`base_rules` plus common_words (words in lines above the limit) and kept: false if the
-    base rules fail or less than one word in `left` remains after common lines are removed.
+def line_rules(docs: DataFrame, few: int = FEW, one_in: int = ONE_IN, left: int = LEFT) -> DataFrame:
+    """`base_rules` plus common_words (words in common lines) and kept: false if the base rules
+    fail or, after common lines are removed, less than one word in `left` remains or fewer than
+    LEAST_WORDS.
 
     Empty and null texts fail the base rules; repeated rows give a row each and are judged as
     one document; an empty table gives none; other columns are not read.
     """
     removed = (
-        common_lines(docs, limit)
+        common_lines(docs, few, one_in)
         .groupBy(F.col("doc_id").alias("_doc"))
         .agg(
             F.sum("words").alias("_words"),
@@ -172,7 +179,8 @@ def line_rules(docs: DataFrame, limit: int = LIMIT, left: int = LEFT) -> DataFra
         )
     )
     joined = base_rules(docs).join(removed, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    enough = (F.col("_words") - F.col("common_words")) * left >= F.col("_words")
+    rest = F.col("_words") - F.col("common_words")
+    enough = (rest * left >= F.col("_words")) & (rest >= LEAST_WORDS)
     return joined.select(
         "doc_id",
         "n_words",
@@ -186,12 +194,12 @@ def line_rules(docs: DataFrame, limit: int = LIMIT, left: int = LEFT) -> DataFra
     )
 
 
-def without_common_lines(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """`docs`, all columns, with the lines above the limit taken out of `text`; documents
-    without such lines keep theirs as it is."""
+def without_common_lines(docs: DataFrame, few: int = FEW, one_in: int = ONE_IN) -> DataFrame:
+    """`docs`, all columns, with common lines taken out of `text`; documents without such lines
+    keep theirs as it is."""
     doc, bad = unused(docs, "_doc"), unused(docs, "_bad")
     found = (
-        common_lines(docs, limit)
+        common_lines(docs, few, one_in)
         .filter("common")
         .groupBy(F.col("doc_id").alias(doc))
         .agg(F.collect_list("line").alias(bad))

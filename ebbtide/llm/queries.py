@@ -163,7 +163,14 @@ ORACLE: dict[str, str] = {
             SELECT doc_id, source, form, sum(len(string_split(form, ' '))) AS words
             FROM forms GROUP BY ALL
         ),
-        marked AS (SELECT *, count(*) OVER (PARTITION BY source, form) > 100 AS common FROM own),
+        hosts AS (
+            SELECT source, count(*) AS documents FROM (SELECT DISTINCT source, doc_id FROM own) GROUP BY source
+        ),
+        counted AS (SELECT *, count(*) OVER (PARTITION BY source, form) AS n FROM own),
+        marked AS (
+            SELECT c.*, n > 10 AND n * 50 > documents AS common
+            FROM counted AS c JOIN hosts AS h ON c.source IS NOT DISTINCT FROM h.source
+        ),
         judged AS (
             SELECT doc_id, sum(words) AS words, sum(CASE WHEN common THEN words ELSE 0 END) AS removed
             FROM marked GROUP BY doc_id
@@ -179,7 +186,7 @@ ORACLE: dict[str, str] = {
         )
         SELECT base.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
             NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
-                AND coalesce((words - removed) * 5 >= words, TRUE) AS kept,
+                AND coalesce((words - removed) * 5 >= words AND words - removed >= 50, TRUE) AS kept,
             CAST(coalesce(removed, 0) AS BIGINT) AS common_words
         FROM base LEFT JOIN judged USING (doc_id)""",
     "op11_divergence": """

@@ -132,7 +132,7 @@ def test_line_rules(odd, none):
     assert by_id[5]["n_words"] == 90_000 and not by_id[5]["kept"]
     assert by_id[7]["n_symbols"] == 3
     assert line_rules.line_rules(none).count() == 0
-    cleaned = line_rules.without_common_lines(odd, limit=1)
+    cleaned = line_rules.without_common_lines(odd, few=1)
     assert cleaned.columns == odd.columns and cleaned.count() == len(ROWS)
     texts = {r["doc_id"]: r["text"] for r in cleaned.collect()}
     assert texts[1] == texts[6] == "" and texts[2] is None and texts[5] == LONG

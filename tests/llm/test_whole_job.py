@@ -1,4 +1,4 @@
-"""Inputs that a smaller job would pass over: lines above the limit, short and long secrets, rows
+"""Inputs that a smaller job would pass over: common lines, short and long secrets, rows
 without an id."""
 
 from __future__ import annotations
@@ -20,15 +20,22 @@ def test_line_rules_mark_lines_and_reject_documents_like_sql(spark, tmp_path):
         if given.name != "documents.parquet":
             shutil.copy(given, tmp_path)
     shared = "\n".join(" ".join(f"s{k}w{j}" for j in range(30)) for k in range(3))
-    own = [" ".join(f"d{i}w{j}" for j in range(10 if i % 2 else 60)) for i in range(103)]
-    rows = [(i, f"{shared}\n{o}", "en", "full", 1) for i, o in enumerate(own[:101])]
-    rows += [(200 + i, f"{shared}\n{o}", "en", "at the limit", 1) for i, o in enumerate(own[:100])]
+    own = [" ".join(f"d{i}w{j}" for j in range(10 if i % 2 else 60)) for i in range(1200)]
+    # In 11 of 400 documents (more than 10 and one in 50), in 10 of 400, in 12 of 600, in all 11.
+    rows = [(i, f"{shared}\n{own[i]}" if i < 11 else own[i] * 9, "en", "common", 1) for i in range(400)]
+    rows += [(1000 + i, f"{shared}\n{own[i]}" if i < 10 else own[i] * 9, "en", "few", 1) for i in range(400)]
+    rows += [(2000 + i, f"{shared}\n{own[i]}" if i < 12 else own[i] * 9, "en", "rare", 1) for i in range(600)]
+    rows += [(3000 + i, f"{shared}\n{own[i]}", "en", None, 1) for i in range(11)]
+    rows += [(3100, "\n".join([shared, *own[:1]] * 2), "en", "common", 1)]  # lines twice in one document
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     docs.toPandas().to_parquet(tmp_path / "documents.parquet")
     op9 = queries.QUERIES["op9_line_rules"]
     found = {r["doc_id"]: r for r in op9(spark, str(tmp_path)).collect()}
-    assert all(found[i]["common_words"] == (90 if i < 101 else 0) for i in found)
-    assert {i for i, r in found.items() if not r["kept"]} == set(range(1, 101, 2))
+    common = {*range(11), *range(3000, 3011)}
+    assert all(found[i]["common_words"] == (90 if i in common else 180 if i == 3100 else 0) for i in found)
+    # With ten words of their own too little is left, with sixty enough.
+    depleted = {i for i, r in found.items() if not r["kept"] and not r["base_failed"]}
+    assert depleted == {i for i in common if i % 1000 % 2}
     assert differences(spark, str(tmp_path), op9, queries.ORACLE["op9_line_rules"]) is None
 
 
