@@ -21,8 +21,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.llm.common import map_rows
@@ -36,12 +35,13 @@ MOST_PROBES = 2_000  # buckets per table; if they do not reach enough, projectio
 SAMPLE, TARGET = 100, 0.96
 UNSEEN_PROBES = 16  # in classes that hold no neighbour of the sample
 MOST_CLASSES = 10_000
-TILE = 2_048  # rows, and queries, of a bucket that one task compares in one go, about
-PIECE = 512  # queries of them at one time
+TILE = 512  # rows, and queries, of a bucket that one task compares in one go, about
 HELD = 400_000  # results a task keeps before it drops what is not among a query's nearest
 NO_ID = (1 << 63) - 1  # stands for a null vec_id, which comes last
 
 FOUND = "query bigint, query_id bigint, row bigint, vec_id bigint, score double"
+LISTS = "query bigint, query_id bigint, rows array<bigint>, vec_ids array<bigint>, scores array<double>"
+BEST = "query bigint, query_id bigint, vec_id bigint, score double, rank int"
 
 
 @dataclass(frozen=True)
@@ -123,16 +123,19 @@ def prepared(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     """row (a number of the row's own), vec_id, vector, dim, norm_class, norm of the rows that
     take part; written, so that the numbers stay."""
     real = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < math.inf))
-    squares = F.aggregate("vector", F.lit(0.0), lambda a, x: a + (x / F.col("top")) * (x / F.col("top")))
+
+    def length(top: Column) -> Column:
+        return top * F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + (x / top) * (x / top)))
+
+    # The greatest component is worked out once, not again for each component.
+    top = F.array_max(F.transform("vector", F.abs))
     return durable(
         vectors.filter(F.col(column).isNotNull() & real)
         .select(
             F.coalesce(F.col("vec_id").cast("bigint"), F.lit(NO_ID)).alias("vec_id"),
             F.col(column).cast("array<double>").alias("vector"),
         )
-        .withColumn("top", F.array_max(F.transform("vector", F.abs)))
-        .filter(F.col("top") > 0)
-        .withColumn("norm", F.col("top") * F.sqrt(squares))
+        .withColumn("norm", F.transform(F.array(F.nullif(top, F.lit(0.0))), length)[0])
         .filter(F.col("norm") < math.inf)
         .select(
             F.monotonically_increasing_id().alias("row"),
@@ -208,13 +211,27 @@ class Nearest:
         return out
 
 
-def _as_batch(columns, arrow) -> pa.RecordBatch:
+_LONG, _REAL = pa.int64(), pa.float64()
+_FOUND = pa.schema([("query", _LONG), ("query_id", _LONG), ("row", _LONG), ("vec_id", _LONG), ("score", _REAL)])
+_BEST = pa.schema([("query", _LONG), ("query_id", _LONG), ("vec_id", _LONG), ("score", _REAL), ("rank", pa.int32())])
+
+
+def _as_batch(columns, arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
 
-_ARROW_FOUND = pa.schema(
-    [("query", pa.int64()), ("query_id", pa.int64()), ("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]
-)
+def _begins(query: np.ndarray) -> np.ndarray:
+    """Where another query begins."""
+    return np.flatnonzero(np.append(True, np.diff(query) != 0)[: len(query)])
+
+
+def _as_lists(part) -> pa.RecordBatch:
+    """A row per query, for results in order of queries."""
+    begin = _begins(part[0])
+    offsets = pa.array(np.append(begin, len(part[0])), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in part[2:]]
+    first = [pa.array(x[begin], _LONG) for x in part[:2]]
+    return pa.RecordBatch.from_arrays(first + lists, names=["query", "query_id", "rows", "vec_ids", "scores"])
 
 
 def _against_sample(base: DataFrame, sample: dict[int, tuple[np.ndarray, ...]], nearest: int) -> DataFrame:
@@ -230,7 +247,7 @@ def _against_sample(base: DataFrame, sample: dict[int, tuple[np.ndarray, ...]],
                     part = own[at : at + TILE]
                     vectors = _matrix(batch.column(2).take(pa.array(part)), dim)
                     best.compare(queries, query_rows, query_ids, vectors, rows[part], ids[part])
-        yield from (_as_batch(x, _ARROW_FOUND) for x in best.take())
+        yield from (_as_batch(x, _FOUND) for x in best.take())
 
     return base.select("row", "vec_id", "vector", "dim").mapInArrow(run, FOUND)
 
@@ -364,19 +381,45 @@ def _compared(placed: DataFrame, nearest: int) -> DataFrame:
                     blocks.append((vectors, rows[start:end], ids[start:end]))
                 elif blocks:
                     blocks = [tuple(np.concatenate(x) for x in zip(*blocks))]
-                    for at in range(0, end - start, PIECE):
-                        a, b = start + at, min(end, start + at + PIECE)
+                    for at in range(0, end - start, TILE):
+                        a, b = start + at, min(end, start + at + TILE)
                         best.compare(vectors[a - start : b - start], rows[a:b], ids[a:b], *blocks[0])
                 start = end
-            yield from (_as_batch(x, _ARROW_FOUND) for x in best.take(HELD // 2))
-        yield from (_as_batch(x, _ARROW_FOUND) for x in best.take())
+            yield from map(_as_lists, best.take(HELD // 2))
+        yield from map(_as_lists, best.take())
 
     columns = ["dim", "cell", "asks", "row", "vec_id", "vector"]
-    return placed.select(*columns).mapInArrow(run, FOUND)
+    return placed.select(*columns).mapInArrow(run, LISTS)
+
+
+def _merged(found: DataFrame, nearest: int) -> DataFrame:
+    """The best of what tasks have found for each query, numbered. A task sends one row a query."""
+
+    def ranked(part) -> pa.RecordBatch:
+        keep = _best(part[0], part[2], part[3], part[4], nearest)
+        query, query_id, vec_id, score = (part[i][keep] for i in (0, 1, 3, 4))
+        return _as_batch((query, query_id, vec_id, score, np.arange(len(query)) - np.searchsorted(query, query) + 1), _BEST)
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            many = np.diff(batch.column(2).offsets.to_numpy())
+            part = [np.repeat(batch.column(i).to_numpy(), many) for i in (0, 1)]
+            part += [batch.column(i).flatten().to_numpy() for i in (2, 3, 4)]
+            held = part if held is None else [np.concatenate(x) for x in zip(held, part)]
+            # Rows come in order of queries, so only the last query may go on.
+            done = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if done:
+                yield ranked([x[:done] for x in held])
+                held = [x[done:] for x in held]
+        if held is not None:
+            yield ranked(held)
+
+    return found.repartition("query").sortWithinPartitions("query").mapInArrow(run, BEST)
 
 
 def _search(base: DataFrame, queries: DataFrame, model: list[NormClass], nearest: int) -> DataFrame:
-    """query, query_id, row, vec_id, score, rank of the best rows of the buckets queries look into.
+    """query, query_id, vec_id, score, rank of the best rows of the buckets queries look into.
 
     Rows and queries of a bucket that has more than about `TILE` of either are dealt to tiles, and
     each tile of rows meets each tile of queries in a cell of its own. Only bucket names are
@@ -420,14 +463,7 @@ def _search(base: DataFrame, queries: DataFrame, model: list[NormClass], nearest
     rows = placed(index, 0, "row_tiles", "ask_tiles").join(base.select("row", "vector"), "row")
     asks = placed(probes, 1, "ask_tiles", "row_tiles").join(queries.select("row", "vector"), "row")
     cells = rows.unionByName(asks).repartition("dim", "cell").sortWithinPartitions("dim", "cell", "asks")
-    order = [F.col("score").desc(), F.col("vec_id"), F.col("row")]
-    return (
-        _compared(cells, nearest)
-        .repartition("query")
-        .dropDuplicates(["query", "row"])
-        .withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(*order)))
-        .filter(F.col("rank") <= nearest)
-    )
+    return _merged(_compared(cells, nearest), nearest)
 
 
 def nearest_rows(

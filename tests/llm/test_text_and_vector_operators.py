@@ -226,7 +226,7 @@ def clusters(spark, many=3000, dim=24):
 
 
 def test_recall_where_buckets_are_tiled(spark, monkeypatch):
-    for name, value in (("TILE", 64), ("PIECE", 16), ("HELD", 2000), ("BUCKET", 32)):
+    for name, value in (("TILE", 64), ("HELD", 2000), ("BUCKET", 32)):
         monkeypatch.setattr(near, name, value)
     vectors, frame = clusters(spark)
     base = near.prepared(frame)
