@@ -118,15 +118,18 @@ def isotonic(scores: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.nda
 def fit_quality(labelled: DataFrame, most_rows: int = MOST_ROWS) -> QualityModel:
     """A model from rows of doc_id, stats, label (0 or 1).
 
-    At most about `most_rows` rows, chosen by a hash of doc_id, are used: four in five for the
-    regression, the rest, which it has not seen, for the calibration. Without rows, or with
+    At most about `most_rows` documents, chosen by a hash of doc_id, are used, with one row each
+    however often they are repeated: four in five for the regression, the rest, which it has not seen, for the calibration. Without rows, or with
     one class only, all texts get that class's share (0.5 without rows).
     """
-    total = labelled.count()
+    total = labelled.select("doc_id").distinct().count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20))
     rate = min(1.0, most_rows / max(1, total))
     sample = (
         labelled.filter(draw < int(rate * (1 << 20)))
+        .groupBy("doc_id")
+        .agg(F.min(F.struct("stats", "label")).alias("one"))
+        .select("doc_id", "one.stats", "one.label")
         .select(F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(5)).alias("part"), "stats", "label")
         .repartition(SUM_PARTS)
         .persist()

@@ -12,6 +12,7 @@ landmarks there are. A document's score is a logistic function of its strongest
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -25,8 +26,9 @@ from ebbtide.plans import durable
 SPAN, DECAY = 6, 0.6
 ALPHABET = 128
 LONGEST = 24  # letters of a word; longer ones are scored in overlapping windows
-LANDMARKS, TRAINING_WORDS = 300, 20_000
+LANDMARKS = 300
 PER_CLASS = 4_000  # labelled rows of each class a fit uses at most
+SUM_PARTS = 8  # partitions that sums for the fit come from, whatever the number of words
 TOXIC_WORDS_KEPT = 150_000
 DOUBT = 2.0  # standard deviations
 SEED = 1
@@ -49,6 +51,13 @@ def bare(token: str) -> str:
     return token if token.isalnum() else INSIDE.sub("", token)
 
 
+def views(word: str) -> list[str]:
+    """A word, or the overlapping windows of one that is longer than LONGEST letters."""
+    if len(word) <= LONGEST:
+        return [word]
+    return [word[x : x + LONGEST] for x in range(0, len(word), LONGEST // 2)]
+
+
 def _codes(words: list[str]) -> np.ndarray:
     """Letter codes, one row per word, 0 behind its end; 1 stands for a word's edge."""
     width = max(map(len, words), default=0) + 2
@@ -82,16 +91,25 @@ def gapped_triples(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Subsequence kernel of each word with each landmark."""
-    out = np.zeros((len(words), len(landmarks)))
-    place, weight = gapped_triples(words)
+    """Subsequence kernel of each word with each landmark.
+
+    Only triples that a landmark has are looked at: a table has a row of weights, one per
+    landmark, for each of those.
+    """
     at, own = gapped_triples(landmarks)
-    table = np.zeros(PLACES + 1)
-    for j in range(len(landmarks)):
-        np.add.at(table, at[j], own[j])
-        table[PLACES] = 0
-        out[:, j] = (table[place] * weight).sum(axis=1)
-        table[at[j]] = 0
+    known, row = np.unique(at, return_inverse=True)
+    table = np.zeros((len(known), len(landmarks)))
+    np.add.at(table, (row.reshape(at.shape), np.arange(len(landmarks))[:, None]), own)
+    table[known == PLACES] = 0
+    out = np.zeros((len(words), len(landmarks)))
+    for start in range(0, len(words), 512):
+        place, weight = gapped_triples(words[start : start + 512])
+        found = np.minimum(np.searchsorted(known, place), len(known) - 1)
+        word, column = np.nonzero((known[found] == place) & (place < PLACES))
+        if len(word):
+            shared = table[found[word, column]] * weight[word, column][:, None]
+            first = np.flatnonzero(np.append(True, np.diff(word) > 0))
+            out[start + word[first]] = np.add.reduceat(shared, first)
     return out
 
 
@@ -112,9 +130,7 @@ class ToxicityModel:
             out[start : start + 4096] = (self.table[place] * weight).sum(axis=1) + self.bias
             for i, w in enumerate(part):
                 if len(w) > LONGEST:
-                    half = LONGEST // 2
-                    views = [w[x : x + LONGEST] for x in range(0, len(w), half)]
-                    place, weight = gapped_triples(views)
+                    place, weight = gapped_triples(views(w))
                     out[start + i] = ((self.table[place] * weight).sum(axis=1) + self.bias).max()
         return out
 
@@ -156,18 +172,24 @@ def _scorer(model: ToxicityModel, key: int) -> Scorer:
     return _SCORERS[key]
 
 
-def _svm(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, cost: float = 1.0) -> np.ndarray:
-    """Squared-hinge support vector machine, Newton steps; each row counts `positive` times as
-    label 1 and `negative` times as label 0. The last column is the constant."""
-    w = np.zeros(x.shape[1])
-    penalty = np.ones(x.shape[1])
+def _newton_sums(x: np.ndarray, positive, negative, w: np.ndarray) -> np.ndarray:
+    """What some rows add to gradient (last column) and Hessian of the squared hinge at `w`."""
+    f = x @ w
+    up, down = positive * (f < 1), negative * (f > -1)
+    slope = -(x.T @ (up * (1 - f) - down * (1 + f)))
+    return np.hstack([(x.T * (up + down)) @ x, slope[:, None]])
+
+
+def _svm(sums: Callable[[np.ndarray], np.ndarray], width: int, cost: float = 1.0) -> np.ndarray:
+    """Squared-hinge support vector machine, Newton steps. `sums` adds up `_newton_sums` over all
+    rows; each counts `positive` times as label 1 and `negative` times as label 0. The last
+    coefficient is the constant."""
+    w = np.zeros(width)
+    penalty = np.ones(width)
     penalty[-1] = 1e-6
     for _ in range(30):
-        f = x @ w
-        up, down = positive * (f < 1), negative * (f > -1)
-        gradient = penalty * w - cost * (x.T @ (up * (1 - f) - down * (1 + f)))
-        hessian = np.diag(penalty) + cost * (x.T * (up + down)) @ x
-        step = np.linalg.solve(hessian, gradient)
+        found = cost * sums(w)
+        step = np.linalg.solve(np.diag(penalty) + found[:, :-1], penalty * w + found[:, -1])
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -188,7 +210,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """doc_id, text, label, part: at most about `per_class` documents of each class."""
+    """doc_id, text, label, part: at most about `per_class` documents of each class, one text of
+    each however many rows it has."""
     one = (
         labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
@@ -202,7 +225,8 @@ def _sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> D
     chosen = one.filter(keep).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(3)))
     # The bound on rows is what makes the broadcast safe.
     chosen = chosen.limit(4 * per_class)
-    return durable(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return durable(found.groupBy("doc_id", "label", "part").agg(F.min("text").alias("text")))
 
 
 def labelled_sentences(sample: DataFrame) -> DataFrame:
@@ -222,40 +246,76 @@ def labelled_sentences(sample: DataFrame) -> DataFrame:
     return pairs.groupBy("sentence").agg(F.min("label").alias("label"))
 
 
-def _word_labels(sentences: DataFrame) -> list[tuple[str, int, int]]:
-    """Words with the number of sentences of each label that they stand in, the TRAINING_WORDS
-    commonest."""
+def _word_labels(sentences: DataFrame) -> DataFrame:
+    """word, positive, negative: all words and windows of long ones, and the number of sentences
+    of each label that they stand in; written."""
 
     def run(rows):
         for texts, labels in rows:
             words, positive = [], []
             for text, label in zip(texts, labels):
-                own = {bare(w)[:LONGEST] for w in tokens(text)} - {""}
+                own = {v for w in tokens(text) for v in views(bare(w))} - {""}
                 words.extend(own)
                 positive.extend([label] * len(own))
             yield words, positive
 
     pairs = map_rows(sentences, ["sentence", "label"], run, "word string, label int")
-    counted = (
-        pairs.groupBy("word")
-        .agg(F.sum("label").alias("positive"), F.sum(1 - F.col("label")).alias("negative"))
-        .orderBy(F.desc(F.col("positive") * 4 + F.col("negative")), "word")
-        .limit(TRAINING_WORDS)
+    return durable(
+        pairs.groupBy("word").agg(F.sum("label").alias("positive"), F.sum(1 - F.col("label")).alias("negative"))
     )
-    return [tuple(r) for r in counted.collect()]
 
 
-def _evidence(positive: np.ndarray, negative: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of each word as label 1 and 0.
+def _evidence(words: DataFrame) -> DataFrame:
+    """word, up, down: weights of each word as label 1 and 0.
 
     Most words of a toxic sentence are plain words, which stand there as often as anywhere.
     Only what a word exceeds that by, beyond chance, counts as label 1.
     """
-    usual = negative * positive.sum() / max(1.0, negative.sum())
-    excess = np.maximum(0, positive - usual - DOUBT * np.sqrt(np.maximum(positive, 1)))
-    down = np.sqrt(negative + positive - excess)
-    up = np.sqrt(excess)
-    return up * max(1.0, np.sqrt(down.sum() / max(1e-9, up.sum()))), down
+    positive, negative = words.agg(F.sum("positive"), F.sum("negative")).first()
+    usual = F.col("negative") * (positive / max(1.0, negative))
+    chance = DOUBT * F.sqrt(F.greatest("positive", F.lit(1)))
+    excess = F.greatest(F.lit(0.0), F.col("positive") - usual - chance)
+    weights = words.select(
+        "word", F.sqrt(excess).alias("up"), F.sqrt(F.col("negative") + F.col("positive") - excess).alias("down")
+    )
+    up, down = weights.agg(F.sum("up"), F.sum("down")).first()
+    scale = max(1.0, float(np.sqrt(down / max(1e-9, up))))
+    return weights.withColumn("up", F.col("up") * scale)
+
+
+def _landmarks(weights: DataFrame) -> list[str]:
+    """Half of them the words that speak most for label 1, half drawn by a hash."""
+    lift = F.log((F.col("up") + 0.5) / (F.col("down") + 0.5)) * F.sqrt(F.col("up") + F.col("down"))
+    half = LANDMARKS // 2
+    strong = weights.orderBy(lift.desc(), "word").limit(half).collect()
+    drawn = weights.orderBy(F.xxhash64("word", F.lit(SEED)), "word").limit(half).collect()
+    return list(dict.fromkeys(r["word"] for r in strong + drawn))
+
+
+def _words_machine(weights: DataFrame, landmarks: list[str], whiten: np.ndarray) -> np.ndarray:
+    """Coefficients of the machine on the words' Nyström features, the constant last."""
+    width = whiten.shape[1] + 1
+
+    def features(rows):
+        for words, up, down in rows:
+            x = np.hstack([kernel(words, landmarks) @ whiten, np.ones((len(words), 1))]).astype(np.float32)
+            yield [r.tobytes() for r in x], up, down
+
+    x = map_rows(weights.repartition(SUM_PARTS), ["word", "up", "down"], features, "x binary, up double, down double")
+    x = durable(x)
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        def run(rows):
+            total = np.zeros((width, width + 1))
+            for raw, up, down in rows:
+                own = np.frombuffer(b"".join(raw), np.float32).reshape(-1, width).astype(float)
+                total += _newton_sums(own, np.array(up), np.array(down), w)
+            yield [total.tobytes()],
+
+        parts = map_rows(x, ["x", "up", "down"], run, "sums binary", 2048).collect()
+        return sum((np.frombuffer(r["sums"]).reshape(width, -1) for r in parts), np.zeros((width, width + 1)))
+
+    return _svm(sums, width)
 
 
 def fit_toxicity(
@@ -270,25 +330,17 @@ def fit_toxicity(
     sample = _sample(docs, labels, label, per_class)
     shares = sample.agg(F.count(F.lit(1)), F.sum("label")).first()
     n, toxic = shares[0], shares[1] or 0
-    counted = _word_labels(labelled_sentences(sample.filter("part < 2"))) if 0 < toxic < n else []
-    if not counted:
+    words = _word_labels(labelled_sentences(sample.filter("part < 2"))) if 0 < toxic < n else None
+    if words is None or words.isEmpty():
         share = toxic / n if n else 0.5
         odds = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
         return ToxicityModel(np.zeros(PLACES + 1), -1.0, np.array([0.0] * SUMMARY + [odds]))
-    words = [w for w, _, _ in counted]
-    up = np.array([p for _, p, _ in counted], float)
-    down = np.array([q for _, _, q in counted], float)
-    up, down = _evidence(up, down)
-    lift = np.log((up + 0.5) / (down + 0.5))
-    rank = np.argsort(-lift * np.sqrt(up + down), kind="stable")
-    random = np.random.default_rng(SEED).permutation(len(words))
-    chosen = list(dict.fromkeys([*rank[: LANDMARKS // 2], *random[: LANDMARKS // 2]]))
-    landmarks = [words[i] for i in chosen]
+    weights = durable(_evidence(words))
+    landmarks = _landmarks(weights)
     values, vectors = np.linalg.eigh(kernel(landmarks, landmarks))
     kept = values > 1e-6 * values.max()
     whiten = vectors[:, kept] / np.sqrt(values[kept])
-    x = np.hstack([kernel(words, landmarks) @ whiten, np.ones((len(words), 1))])
-    w = _svm(x, up, down)
+    w = _words_machine(weights, landmarks, whiten)
     alpha = whiten @ w[:-1]
     table = np.zeros(PLACES + 1)
     place, weight = gapped_triples(landmarks)

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from test_results import groups_by_brute_force, sets_by_rule
 
-from ebbtide.llm import decontamination, jaccard_join, language_profiles, quality_kernel
+from ebbtide.llm import decontamination, jaccard_join, language_profiles, quality_kernel, toxicity_kernel
 
 DOCS = "doc_id bigint, text string, lang string"
 
@@ -161,3 +161,76 @@ def test_partition_sums_equal_one_matrix(spark):
 
     got = quality_kernel._partition_sums(labelled, normal, quality_kernel.STATS)
     assert np.allclose(got, normal(stats, label.astype(float)))
+
+
+def plain_kernel(a, b):
+    """Shared letter triples in order, by their gaps, of two words scaled to length one."""
+
+    def profile(word):
+        letters, out = [1, *map(toxicity_kernel._code, word), 1], defaultdict(float)
+        for j, k in toxicity_kernel.OFFSETS:
+            for i in range(len(letters) - k):
+                out[letters[i], letters[i + j], letters[i + k], j, k] += toxicity_kernel.DECAY ** (k - 2)
+        scale = sum(x * x for x in out.values()) ** 0.5 or 1.0
+        by_triple = defaultdict(list)
+        for (x, y, z, _, k), v in out.items():
+            by_triple[x, y, z].append(v / scale)
+        return {t: v for t, v in by_triple.items()}
+
+    one, two = profile(a), profile(b)
+    return sum(sum(v) * sum(two[t]) for t, v in one.items() if t in two)
+
+
+def test_kernel_equals_a_naive_one():
+    words = ["idiot", "idxiot", "i", "stupidity", "gruß", "thing", "日本", "xyzzy"]
+    marks = ["idiot", "stupid", "thing", "日本語"]
+    got = toxicity_kernel.kernel(words, marks)
+    for i, w in enumerate(words):
+        for j, m in enumerate(marks):
+            assert abs(got[i, j] - plain_kernel(w, m)) < 1e-9, (w, m)
+    assert got[0, 0] > got[1, 0] > got[7, 0]
+
+
+def test_machine_over_partitions_equals_one_matrix(spark):
+    random_ = np.random.default_rng(1)
+    words = sorted({"".join(random_.choice(list("abcdefg"), 5)) for _ in range(400)})
+    up = [float("bad" in w or "fad" in w) * 3 for w in words]
+    down = [float(random_.integers(1, 4)) for _ in words]
+    marks = words[::20]
+    values, vectors = np.linalg.eigh(toxicity_kernel.kernel(marks, marks))
+    whiten = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
+    frame = spark.createDataFrame(list(zip(words, up, down)), "word string, up double, down double")
+    got = toxicity_kernel._words_machine(frame, marks, whiten)
+    x = np.hstack([toxicity_kernel.kernel(words, marks) @ whiten, np.ones((len(words), 1))])
+
+    def loss(w):
+        f = x @ w
+        hinge = np.array(up) * np.maximum(0, 1 - f) ** 2 + np.array(down) * np.maximum(0, 1 + f) ** 2
+        return ((w[:-1] ** 2).sum() + 1e-6 * w[-1] ** 2) / 2 + hinge.sum() / 2
+
+    for _ in range(50):  # no step in any direction lowers it
+        assert loss(got) <= loss(got + 1e-3 * random_.standard_normal(len(got))) + 1e-9
+    assert loss(got) < loss(np.zeros(len(got)))
+
+
+def test_all_words_are_counted_and_long_ones_in_windows(spark):
+    """Rare words beside very common ones, and the end of a word beyond the first 24 letters."""
+    long = "a" * 30 + "idiot" + "b" * 20
+    sentences = [(f"common word number{i} here", 0) for i in range(3000)] + [("rare", 1), (long, 1), (long + " x", 0)]
+    frame = spark.createDataFrame(sentences, "sentence string, label int")
+    counted = {r["word"]: (r["positive"], r["negative"]) for r in toxicity_kernel._word_labels(frame).collect()}
+    assert counted["rare"] == (1, 0) and counted["common"] == (0, 3000) and counted["number2999"] == (0, 1)
+    assert len(counted) == 3000 + 5 + len(set(toxicity_kernel.views(long)))
+    assert any("idiot" in w for w in counted) and all(len(w) <= toxicity_kernel.LONGEST for w in counted)
+
+
+def test_samples_are_bounded_however_often_rows_come(spark):
+    rows = [(i % 50, f"text of {i % 50}", "en") for i in range(3000)] + [(7, f"other {i}", "en") for i in range(500)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(50)], "doc_id bigint, quality int, toxic int")
+    sample = toxicity_kernel._sample(docs, labels, "toxic", 4000)
+    assert sample.count() == 50 and sample.select("doc_id").distinct().count() == 50
+    stats = quality_kernel.document_statistics(docs)
+    model = quality_kernel.fit_quality(quality_kernel.labelled_statistics(stats, labels))
+    once = quality_kernel.document_statistics(docs.filter("text not like 'other%'").distinct())
+    assert quality_kernel.score_quality(once, model).count() == 50
