@@ -31,21 +31,35 @@ def sessions(events: DataFrame, gap: int = 6 * HOUR) -> DataFrame:
     """user_id, session_start, session_end, events; a wait of `gap` or more starts a new one.
 
     Events of one gap-wide cell are less than a gap apart, hence in the same session. So only
-    first, last and count per user and cell shuffle, and sessions are runs of those cells. A
-    user has at most one row per gap of the calendar: with gaps of seconds over years that is
-    still much for one task.
+    first, last and count per user and cell shuffle, and sessions are runs of those cells.
+
+    Runs are found slice by slice of the (user, cell) pairs, so a user with a short gap and very
+    many cells is spread over as many tasks as they fill. Only the first and the last run a user
+    has in a slice can go on in another; those, at most two per slice, meet per user, and all
+    others are sessions already.
     """
     cells = (
         _timed(events)
         .groupBy("user_id", cell_start(F.col("at"), gap).alias("cell"))
         .agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("n"))
     )
-    line = W.partitionBy("user_id").orderBy("cell")
-    wait = F.col("first") - F.lag("last").over(line)
+    opens = F.when(F.col("first") - F.col("before") < gap, 0).otherwise(1)
+    inside = W.partitionBy("_slice", "user_id")
+    runs = (
+        sliced_once(cells, [F.col("user_id"), F.col("cell")])
+        .withColumn("before", F.lag("last").over(inside.orderBy("cell")))
+        .withColumn("run", F.sum(opens).over(inside.orderBy("cell")))
+        .groupBy("_slice", "user_id", "run")
+        .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    )
+    edge = (F.col("run") == 1) | F.lead("run").over(inside.orderBy("run")).isNull()
+    # Runs inside a slice are alone under their own start; a user's edges share none.
+    placed = runs.withColumn("alone", F.when(~edge, F.col("first")))
+    line = W.partitionBy("user_id", "alone").orderBy("first")
     return (
-        cells.withColumn("opens", F.when(wait < gap, 0).otherwise(1))
-        .withColumn("session", F.sum("opens").over(line))
-        .groupBy("user_id", "session")
+        placed.withColumn("before", F.lag("last").over(line))
+        .withColumn("session", F.sum(opens).over(line))
+        .groupBy("user_id", "alone", "session")
         .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("events"))
         .select(
             "user_id",

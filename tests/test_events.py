@@ -93,18 +93,20 @@ def test_funnel(df, rows):
 
 @pytest.mark.parametrize("slices", ["1", "50"])
 def test_the_number_of_slices_does_not_matter(spark, df, slices):
-    def all_three():
+    def all_of_them():
         return [
+            as_set(events.sessions(df, events.HOUR)),
+            as_set(events.sessions(df)),
             as_set(events.funnel(df, TYPES[:3])),
             as_set(events.rolling_errors(df)),
             as_set(events.last_before(df, "click")),
         ]
 
-    usual = all_three()
+    usual = all_of_them()
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", slices)
     try:
-        assert all_three() == usual
+        assert all_of_them() == usual
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
@@ -172,3 +174,68 @@ def test_empty_inputs(spark):
         events.rolling_errors(none), events.last_before(none, "view"),
     ):
         assert result.count() == 0
+
+
+def test_a_busy_user_with_a_short_gap_is_spread_over_all_tasks(spark):
+    """One user with most events, seconds apart, half of them alone and half in one long run."""
+    from pyspark.sql import functions as F
+
+    n, slices = 40_000, 8
+    at = F.when(F.col("id") % 2 == 0, F.col("id") * 10).otherwise(1_000_000 + F.floor(F.col("id") / 2))
+    df = spark.range(n).select(
+        F.col("id").alias("event_id"),
+        F.timestamp_seconds(1_704_067_200 + at).cast("timestamp_ntz").alias("ts"),
+        F.when(F.col("id") % 50 == 0, F.col("id")).otherwise(7).alias("user_id"),
+        F.lit("view").alias("event_type"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = events.sessions(df, 2 * events.SECOND)
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        runs = found.filter("user_id = 7").groupBy("events").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == slices and max(sizes) < 2 * sum(sizes) / slices
+    # The long run crosses slices and is one session.
+    assert {r["events"]: r["count"] for r in runs} == {1: n // 2 - n // 50, n // 2: 1}
+
+
+def plain_funnel(line, steps, within):
+    """Furthest step of one user's (time, type) rows, trying every chain."""
+    best = 0
+    for t, kind in line:
+        if kind != steps[0]:
+            continue
+        now, reached = t, 1
+        for step in steps[1:]:
+            later = [x for x, k in line if k == step and now < x <= t + within]
+            if not later:
+                break
+            now, reached = min(later), reached + 1
+        best = max(best, reached)
+    return best
+
+
+@pytest.mark.parametrize("slices", ["1", "3", "40"])
+@pytest.mark.parametrize("steps", [["a"], ["a", "b"], ["a", "b", "c", "d"], ["a", "a", "b", "a"]])
+def test_funnels_of_any_length_over_any_slices(spark, slices, steps):
+    rng = random.Random(len(steps))
+    rows = [(i, rng.randrange(90), rng.choice([0, 0, 1, 2, 3]), rng.choice("abcde")) for i in range(400)]
+    want = {}
+    for user in {r[2] for r in rows}:
+        line = sorted({(r[1], r[3]) for r in rows if r[2] == user})
+        if any(k in steps for _, k in line):
+            want[user] = plain_funnel(line, steps, 12)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", slices)
+    try:
+        got = events.funnel(make(spark, rows), steps, 12 * events.HOUR).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r.user_id: r.furthest for r in got} == want and len(got) == len(want)
+
+
+def test_funnel_has_one_range_partitioning_and_no_written_copy(spark, df):
+    plan = events.funnel(df, TYPES[:4])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning") == 1 and "Join" not in plan
+    assert plan.count("Scan ExistingRDD") == 1  # the input
