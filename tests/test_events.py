@@ -7,10 +7,10 @@ import datetime as dt
 import random
 
 import pytest
-from conftest import as_set
+from conftest import TESTDATA, as_set
 
 from ebbtide.operators import events
-from ebbtide.sources import SCHEMAS
+from ebbtide.sources import SCHEMAS, load
 
 START = dt.datetime(2024, 1, 1)
 HOUR = dt.timedelta(hours=1)
@@ -235,7 +235,57 @@ def test_funnels_of_any_length_over_any_slices(spark, slices, steps):
     assert {r.user_id: r.furthest for r in got} == want and len(got) == len(want)
 
 
-def test_funnel_has_one_range_partitioning_and_no_written_copy(spark, df):
-    plan = events.funnel(df, TYPES[:4])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("rangepartitioning") == 1 and "Join" not in plan
-    assert plan.count("Scan ExistingRDD") == 1  # the input
+def test_funnel_has_one_range_partitioning_and_no_written_copy(spark):
+    given = load(spark, str(TESTDATA / "sf0.001"), "events")
+    plan = events.funnel(given, TYPES[:4])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning") == 1 and plan.count("FileScan") == 1
+    assert "Join" not in plan and "ExistingRDD" not in plan
+
+
+@pytest.mark.parametrize("slices", ["1", "2", "7", "40"])
+@pytest.mark.parametrize("times", [1, 3, 25])
+def test_running_results_where_few_times_fill_many_slices(spark, slices, times):
+    """Many rows at equal times, so that one time is in several slices; some rows without one."""
+    rng = random.Random(times)
+    rows = [(i, rng.randrange(times), rng.choice([0, 0, 0, 1, 2]), rng.choice(["error", "purchase", "x"]), i) for i in range(300)]
+    from pyspark.sql import functions as F
+
+    df = make(spark, rows).withColumn("ts", F.when(F.col("event_id") % 17 > 0, F.col("ts"))).repartition(5)
+    timed = {r[0]: None if r[0] % 17 == 0 else r[1] for r in rows}
+    errors, last = {}, {}
+    for i, _, user, kind, _ in rows:
+        peers = [r for r in rows if r[2] == user]
+        if timed[i] is None:
+            errors[i] = sum(timed[r[0]] is None and r[3] == "error" for r in peers)
+            last[i] = None
+        else:
+            known = [r for r in peers if timed[r[0]] is not None]
+            errors[i] = sum(timed[i] - 24 <= r[1] <= timed[i] and r[3] == "error" for r in known)
+            last[i] = max(((r[1], r[0]) for r in known if r[1] < timed[i] and r[3] == "purchase"), default=(0, None))[1]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", slices)
+    try:
+        got = {r.event_id: r.errors for r in events.rolling_errors(df, days=1).collect()}
+        found = {r.event_id: r.last_value for r in events.last_before(df, "purchase").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == errors
+    assert found == {i: None if v is None else float(v) for i, v in last.items()}
+
+
+def test_one_time_with_all_rows_is_spread(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(8000).select(
+        F.col("id").alias("event_id"),
+        F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"),
+        F.lit(1).cast("bigint").alias("user_id"),
+        F.lit("error").alias("event_type"),
+    )
+    found = events.rolling_errors(df)
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    # An error is a row at its time and one where it leaves the window, in eight slices.
+    assert max(sizes) <= 1.5 * 2 * 8000 / 8 and {r.errors for r in found.select("errors").distinct().collect()} == {8000}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # Rows are read where they were written, dealt to tasks by slice, and joined to a broadcast.
+    assert "SortMergeJoin" not in plan.split("BroadcastExchange")[0]
