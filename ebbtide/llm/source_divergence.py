@@ -24,6 +24,7 @@ from ebbtide.plans.ranked import first_per_group
 LEAST_DOCUMENTS = 3
 TOP_TERMS = 200
 SCALE = 1_000_000_000
+PIECE = 1 << 20  # bytes of a text that are cut into terms at one time, about
 ENTRIES = 400_000  # counts that a task holds before it hands them on
 CHARACTERS = 64 << 20  # of texts counted before that
 CELLS = 1 << 20  # pairs that are evaluated at one time
@@ -40,9 +41,16 @@ _FORM = bytes(
 )
 
 
-def terms(text: str) -> list[bytes]:
-    """Runs of letters and of code points beyond ASCII, in UTF-8, A-Z in lower case."""
-    return text.encode().translate(_FORM).split()
+def terms(text: str) -> Counter:
+    """How often a text has each run of letters and of code points beyond ASCII, in UTF-8, A-Z in
+    lower case. Of a long text a piece at a time is cut, between terms."""
+    raw, found, start = text.encode().translate(_FORM), Counter(), 0
+    while start < len(raw):
+        end = raw.find(b" ", start + PIECE)
+        end = len(raw) if end < 0 else end
+        found.update(raw[start:end].split())
+        start = end
+    return found
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -82,7 +90,7 @@ def _counted(rows):
 
     for langs, texts, sources in rows:
         for lang, text, where in zip(langs, texts, sources):
-            times = Counter(terms(text))
+            times = terms(text)
             size += len(text)
             for x in where:
                 own, n = found.setdefault((lang, x["source"]), {}), x["n"]

@@ -165,6 +165,14 @@ def test_pieces_of_pairs_and_counts_add_up(monkeypatch):
     assert counts["x", "z", "é", 0] == 9 and counts["x", "a", "a", 0] == 4 and counts["x", "a", "a", 1] == 2
 
 
+@pytest.mark.parametrize("piece", [1, 3, 1 << 20])
+def test_terms_of_a_text_in_pieces(monkeypatch, piece):
+    monkeypatch.setattr(apart, "PIECE", piece)
+    for text in ("", "  ", "one", "The the, É日本x 1a-b  " * 50, "x" * 40, "é" * 40, " lead and trail "):
+        want = Counter(t.encode() for t in TERM.findall(_lower(text)))
+        assert apart.terms(text) == want
+
+
 def test_one_row_for_copies_of_a_text(spark):
     rows = divergence_rows()
     texts = apart.collapsed(spark.createDataFrame(rows, DOCS)).collect()
