@@ -92,7 +92,8 @@ def features(
     region. Nothing on or after the cutoff is read.
 
     Order days reduce before the customer shuffle, and the gaps between neighbours add up to
-    last minus first, so no window is needed.
+    last minus first, so no window is needed. `dims` has a row per customer too: both sides are
+    sorted and merged, as a broadcast would bring all customers to the driver.
     """
     at, longest = day(cutoff), max(windows)
     days = (
@@ -116,7 +117,7 @@ def features(
             ratio(F.datediff(F.max(seen), F.min(seen)), F.count(seen) - 1).alias(f"mean_gap_{w}"),
         ]
     columns.append(ratio(F.sum("urgent"), F.sum("n")).alias("urgent_share"))
-    known = dims.select("k", "balance", "segment", "region")
+    known = dims.select("k", "balance", "segment", "region").hint("merge")
     return days.groupBy("k").agg(*columns).join(known, "k", "left")
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime as dt
 import math
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from ebbtide.operators import drivers, scoring
+from ebbtide.sources import SCHEMAS
 from ebbtide.suite.queries import QUERIES, STEEPEST, TRAIN_CUTOFF, Inputs
 
 
@@ -185,3 +187,44 @@ def test_registered_results_are_the_models_own(spark):
     assert all(math.isclose(r["risk"], r["risk_by_terms"], abs_tol=2e-6) for r in risks)
     terms = QUERIES["fit_churn_model_terms"](spark, folder).collect()
     assert all(r["settled"] for r in terms) and len({r["term"] for r in terms}) == len(terms) > 20
+
+
+@pytest.fixture(scope="module")
+def shop(spark, tmp_path_factory):
+    """A folder of 60 customers who order twice before the first cutoff, and two in three of them
+    twice before the second."""
+    folder = tmp_path_factory.mktemp("shop")
+    days = [dt.datetime(y, 7, d) for y in (1999, 2000) for d in (1, 11)]
+    rows = {
+        "region": [(0, "north")],
+        "nation": [(i, f"n{i}", 0) for i in range(3)],
+        "customer": [(k, f"c{k}", k % 3, float(k), f"s{k % 2}") for k in range(60)],
+        "orders": [
+            (4 * k + i, k, "O", 10.0 + k, at - dt.timedelta(k % 20), "5-LOW")
+            for k in range(60) for i, at in enumerate(days) if i < 2 or k % 3 > 0
+        ],
+    }
+    for name, own in rows.items():
+        spark.createDataFrame(own, SCHEMAS[name]).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def ran(df):
+    """The rows, and the plan as it was in the end, after joins were chosen by measured sizes."""
+    rows = df.collect()
+    return rows, df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_no_table_of_customers_is_broadcast_for_the_risks(spark, shop):
+    rows, plan = ran(QUERIES["score_risk"](spark, shop))
+    assert "isFinalPlan=true" in plan and "BroadcastHashJoin [k" not in plan
+    assert plan.count("SortMergeJoin [k") == 3 and "BroadcastHashJoin [term" in plan
+    assert len(rows) == 40 and all(math.isclose(r["risk"], r["risk_by_terms"], abs_tol=2e-6) for r in rows)
+
+
+def test_no_table_of_customers_is_broadcast_for_the_fit(spark, shop):
+    small = Inputs(spark, shop)
+    rows, plan = ran(scoring.with_label(small.features(TRAIN_CUTOFF), small.label(TRAIN_CUTOFF)))
+    assert "isFinalPlan=true" in plan and "BroadcastHashJoin [k" not in plan
+    assert plan.count("SortMergeJoin [k") == 2
+    assert {r["k"]: r["churned"] for r in rows} == {k: int(k % 3 == 0) for k in range(60)}
